@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import features
+
+MODULES = [features]
+
 
 def queries():
-    return {}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: q for m in MODULES for name, q in m.ORACLES.items()}
