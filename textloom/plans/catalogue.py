@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import features
+from . import features, indexing, reductions
 
-MODULES = [features]
+MODULES = [features, indexing, reductions]
 
 
 def queries():
