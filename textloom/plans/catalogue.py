@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import features, indexing, reductions
+from . import engines, features, indexing, reductions
 
-MODULES = [features, indexing, reductions]
+MODULES = [features, indexing, reductions, engines]
 
 
 def queries():
