@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -102,20 +102,18 @@ _REDUCERS = {"greedy": greedy, "rules": reduce_rule_spans, "ensemble": reduce_en
 
 
 def reduce_spans(spans: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
-    """``greedy``, ``rules`` or ``ensemble`` on each document's ``(label, probability, flags, offset, length)``; an order-dependent fold, so Python, but on documents with several spans only."""
+    """``greedy``, ``rules`` or ``ensemble`` on each document's ``(label, probability, flags, offset, length)``; an order-dependent fold, so Python, a batch of documents at a time."""
     fold = _REDUCERS[how]
-    names = [id_col, "label", "probability", "flags", "offset", "length"]
-    schema = ", ".join(f"`{n}` {dict(spans.dtypes)[n]}" for n in names)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = fold(pdf.to_dict("records"))
-        return pd.DataFrame(rows, columns=names) if rows else pdf.iloc[:0][names]
-
-    spans = spans.select(*names).withColumn("_n", F.count("*").over(W.partitionBy(id_col)))
-    alone = spans.where("_n = 1").drop("_n")
-    if how == "ensemble":
-        alone = alone.where(~((F.col("flags").bitwiseAND(RULE) != 0) & (F.col("probability") < 0.5)))
-    return alone.unionByName(spans.where("_n > 1").drop("_n").groupBy(id_col).applyInPandas(run, schema))
+    fields = ["label", "probability", "flags", "offset", "length"]
+    kinds = dict(spans.dtypes)
+    item = "array<struct<" + ", ".join(f"{n}: {kinds[n]}" for n in fields) + ">>"
+
+    @F.arrow_udf(item)
+    def run(v: pa.Array) -> pa.Array:
+        return pa.array([fold(x) if len(x) > 1 or how == "ensemble" else x for x in v.to_pylist()], v.type)
+
+    lists = spans.groupBy(id_col).agg(F.collect_list(F.struct(*fields)).alias("_s"))
+    return lists.select(id_col, F.explode(run.asNondeterministic()("_s")).alias("s")).select(id_col, "s.*")
 
 
 def assemble_bio(tags: DataFrame, by: list[str]) -> DataFrame:
