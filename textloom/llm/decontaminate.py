@@ -241,15 +241,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", **how) -> DataFrame:
     """The documents with benchmark passages cut from the text, all columns kept; the length column follows the text. Texts that nothing is left of go."""
-    (spans,) = fresh(docs, "spans")
+    spans, cut = fresh(docs, "spans", "cut")
     names = docs.columns
     out = docs
     for f in span_functions(docs, benchmark, **how):
-        out = out.withColumn(spans, f(col(text_col)))
-        cut = replace_spans(col(text_col), col(spans))
+        out = out.withColumn(spans, f(col(text_col))).withColumn(cut, replace_spans(col(text_col), col(spans)))
         hit = F.size(col(spans)) > 0
-        new = {text_col: cut}
+        new = {text_col: col(cut)}
         if length_col in names:
-            new[length_col] = F.when(hit, F.length(cut).cast(docs.schema[length_col].dataType)).otherwise(col(length_col))
-        out = out.where(~hit | (F.length(F.trim(cut)) > 0)).select(*[new.get(c, col(c)).alias(c) for c in names], col(spans)).drop(spans)
+            new[length_col] = F.when(hit, F.length(col(cut)).cast(docs.schema[length_col].dataType)).otherwise(col(length_col))
+        out = out.where(~hit | (F.length(F.trim(col(cut))) > 0)).select(*[new.get(c, col(c)).alias(c) for c in names])
     return out

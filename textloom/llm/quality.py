@@ -47,7 +47,7 @@ def log_count_ratios(doc: np.ndarray, feat: np.ndarray, y: np.ndarray, size: int
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
-def dual_coordinate_descent(values: list[np.ndarray], feats: list[np.ndarray], y: np.ndarray, size: int, c: float = C, passes: int = PASSES, seed: int = SEED) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(values: list[np.ndarray], feats: list[np.ndarray], y: np.ndarray, size: int, c: float = C, passes: int = PASSES, seed: int = SEED, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise |w|^2 / 2 + c * sum of hinge losses; the bias is the weight of a constant 1."""
     w, b = np.zeros(size), 0.0
     alpha = np.zeros(len(y))
@@ -65,7 +65,7 @@ def dual_coordinate_descent(values: list[np.ndarray], feats: list[np.ndarray], y
                 b += step
                 worst = max(worst, abs(a - alpha[i]))
                 alpha[i] = a
-        if worst < 1e-3 * c:
+        if worst < tolerance * c:
             break
     return w, b
 

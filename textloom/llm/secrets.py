@@ -191,10 +191,10 @@ def find_secrets(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
 
 def redact_secrets(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", length_col: str | None = "n_chars", filler: str = FILLER) -> DataFrame:
     """All documents and columns, each secret literal replaced by the filler; the length column follows the text."""
-    (found,) = fresh(docs, "found")
-    out = docs.withColumn(found, secret_column(col(text_col), threshold))
-    cut = replace_spans(col(text_col), col(found), filler)
-    new = {text_col: cut}
+    found, cut = fresh(docs, "found", "cut")
+    # the new text is a column of its own first: beside an alias `text`, lambdas would read the alias for the column
+    out = docs.withColumn(found, secret_column(col(text_col), threshold)).withColumn(cut, replace_spans(col(text_col), col(found), filler))
+    new = {text_col: col(cut)}
     if length_col in docs.columns:
-        new[length_col] = F.when(F.size(col(found)) > 0, F.length(cut).cast(docs.schema[length_col].dataType)).otherwise(col(length_col))
+        new[length_col] = F.when(F.size(col(found)) > 0, F.length(col(cut)).cast(docs.schema[length_col].dataType)).otherwise(col(length_col))
     return out.select(*[new.get(c, col(c)).alias(c) for c in docs.columns])
