@@ -23,86 +23,103 @@ STOP_WORDS = (
 RULES = [
     ("n_words", 1, 100_000),
     ("mean_word_length", 1.0, 14.0),
-    ("symbol_word_ratio", None, 0.2),
+    ("symbol_word_ratio", None, 0.5),
     ("stop_word_ratio", 0.0, None),
     ("upper_ratio", None, 0.5),
     ("bar_ratio", None, 0.1),
     ("bullet_line_ratio", None, 0.9),
     ("ellipsis_line_ratio", None, 0.3),
-    ("digit_ratio", None, 0.3),
+    ("digit_ratio", None, 0.5),
+    ("unique_word_ratio", 0.12, None),
 ]
-_SYMBOLS = "#$%&*@^~<>{}[]\\=+_"
-_EXCLAIM = "!?"
+_SYMBOLS, _MARKS = r"[#$%&*@^~<>{}\[\]\\=+_]", ".,;:!?"
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
 
 
-def _stop_pattern(stop: str) -> str:
-    """A stop word between spaces or marks; spaces are doubled before, so neighbours don't share one."""
-    return rf"(?:^|\s)(?:{stop})(?:[\s.,;:!?]|$)"
+def words(text: Column) -> Column:
+    """Lower-cased runs of non-space."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\S+"), F.lit(0))
 
 
-def measures(text: Column) -> dict[str, Column]:
+def measures(text: Column, w: Column) -> dict[str, Column]:
+    """Of a text and its ``words``."""
     t = F.coalesce(text, F.lit(""))
-    n = F.length(t).cast("long")
     count = lambda p: F.regexp_count(t, F.lit(p)).cast("long")
-    gone = lambda chars: n - F.length(F.translate(t, chars, ""))
-    n_words, n_lines = count(r"\S+"), count(r"\n") + 1
-    letters = n - gone(" \n\t\r")
-    stop = "|".join(sorted(set(STOP_WORDS.split())))
+    n_words, n_lines = F.size(w).cast("long"), count(r"\n") + 1
+    letters = F.length(F.array_join(w, "")).cast("long")
+    stop = sorted(set(STOP_WORDS.split()))
     return {
         "n_words": n_words,
         "mean_word_length": _ratio(letters, n_words),
-        "symbol_word_ratio": _ratio(gone(_SYMBOLS), n_words),
-        "stop_word_ratio": _ratio(F.regexp_count(F.replace(F.replace(F.lower(t), F.lit(" "), F.lit("  ")), F.lit("\n"), F.lit("\n\n")), F.lit(_stop_pattern(stop))).cast("long"), n_words),
-        "upper_ratio": _ratio(gone("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), letters),
-        "bar_ratio": _ratio(gone("|"), n_words),
+        "symbol_word_ratio": _ratio(count(_SYMBOLS), n_words),
+        "stop_word_ratio": _ratio(F.size(F.filter(w, lambda x: F.rtrim(x, F.lit(_MARKS)).isin(*stop))), n_words),
+        "upper_ratio": _ratio(count("[A-Z]"), letters),
+        "bar_ratio": _ratio(count(r"\|"), n_words),
         "bullet_line_ratio": _ratio(count(r"(?:^|\n)[ \t]*[-*•]"), n_lines),
         "ellipsis_line_ratio": _ratio(count(r"(?:\.\.\.|…)[ \t]*(?:\n|$)"), n_lines),
-        "digit_ratio": _ratio(gone("0123456789"), n),
+        "digit_ratio": _ratio(count("[0-9]"), letters),
+        "unique_word_ratio": F.when(n_words > 0, F.size(F.array_distinct(w)) / n_words).otherwise(F.lit(1.0)),
     }
 
 
-def compile_rules(text: Column, rules=RULES) -> dict[str, Column]:
-    """Measures in the table's order, then ``keep``."""
-    known = measures(text)
-    out, keep = {}, F.lit(True)
-    for name, least, most in rules:
-        out[name] = known[name]
-        if least is not None:
-            keep = keep & (known[name] >= F.lit(least))
-        if most is not None:
-            keep = keep & (known[name] <= F.lit(most))
-    out["keep"] = keep
-    return out
+def compile_rules(rules=RULES):
+    """The table as a function from a text and its words to one struct of measures, and the condition on that struct to keep the text."""
+
+    def measure(text: Column, w: Column) -> Column:
+        known = measures(text, w)
+        return F.struct(*[known[n].alias(n) for n, _, _ in rules])
+
+    def keep(m: Column) -> Column:
+        out = F.lit(True)
+        for n, least, most in rules:
+            if least is not None:
+                out = out & (m[n] >= F.lit(least))
+            if most is not None:
+                out = out & (m[n] <= F.lit(most))
+        return out
+
+    return measure, keep
+
+
+def _with_measures(docs: DataFrame, rules, text_col: str, name: str) -> DataFrame:
+    """Adds the struct of measures.
+
+    The one-element explode stands between the measures and any filter on them: the optimizer would else push the
+    filter below the projection and compute every measure twice.
+    """
+    (w,) = fresh(docs, "w")
+    measure, _ = compile_rules(rules)
+    out = docs.withColumn(w, words(col(text_col))).withColumn(name, measure(col(text_col), col(w))).drop(w)
+    return out.select(*[col(c) for c in docs.columns], F.explode_outer(F.array(col(name))).alias(name))
 
 
 def measured(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, every measure and ``keep``, for every document."""
-    return docs.select(col(id_col).alias("doc_id"), *[c.alias(n) for n, c in compile_rules(col(text_col), rules).items()])
+    some = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
+    out = _with_measures(some, rules, "text", "m")
+    return out.select("doc_id", "m.*", compile_rules(rules)[1](F.col("m")).alias("keep"))
 
 
 def filter_documents(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
     """The documents that keep to every bound, with all their columns."""
-    return docs.where(compile_rules(col(text_col), rules)["keep"])
+    (m,) = fresh(docs, "m")
+    return _with_measures(docs, rules, text_col, m).where(compile_rules(rules)[1](col(m))).drop(m)
 
 
 def oracle(rules=RULES) -> str:
-    q = lambda s: s.replace("'", "''")
-    gone = lambda chars: f"(length(t) - length(translate(t, '{q(chars)}', '')))"
-    count = lambda p, t="t": f"len(regexp_extract_all({t}, '{q(p)}'))"
+    count = lambda p: f"len(regexp_extract_all(t, '{p}'))"
     ratio = lambda a, b: f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} ELSE 0.0 END"
-    stop = "|".join(sorted(set(STOP_WORDS.split())))
-    letters = "(length(t) - (length(t) - length(translate(t, ' ' || chr(10) || chr(9) || chr(13), ''))))"
-    words, lines = count(r"\S+"), f"({count(chr(92) + 'n')} + 1)"
+    stop = ", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS.split())))
+    n, letters, lines = "len(w)", "length(array_to_string(w, ''))", "(" + count(r"\n") + " + 1)"
     sql = {
-        "n_words": f"CAST({words} AS BIGINT)", "mean_word_length": ratio(letters, words), "symbol_word_ratio": ratio(gone(_SYMBOLS), words),
-        "stop_word_ratio": ratio(count(_stop_pattern(stop), "replace(replace(lower(t), ' ', '  '), chr(10), chr(10) || chr(10))"), words), "upper_ratio": ratio(gone("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), letters),
-        "bar_ratio": ratio(gone("|"), words), "bullet_line_ratio": ratio(count(r"(?:^|\n)[ \t]*[-*•]"), lines),
-        "ellipsis_line_ratio": ratio(count(r"(?:\.\.\.|…)[ \t]*(?:\n|$)"), lines), "digit_ratio": ratio(gone("0123456789"), "length(t)"),
+        "n_words": f"CAST({n} AS BIGINT)", "mean_word_length": ratio(letters, n), "symbol_word_ratio": ratio(count(_SYMBOLS), n),
+        "stop_word_ratio": ratio(f"len(list_filter(w, lambda x: rtrim(x, '{_MARKS}') IN ({stop})))", n), "upper_ratio": ratio(count("[A-Z]"), letters), "bar_ratio": ratio(count(r"\|"), n),
+        "bullet_line_ratio": ratio(count(r"(?:^|\n)[ \t]*[-*•]"), lines), "ellipsis_line_ratio": ratio(count(r"(?:\.\.\.|…)[ \t]*(?:\n|$)"), lines),
+        "digit_ratio": ratio(count("[0-9]"), letters), "unique_word_ratio": f"CASE WHEN {n} > 0 THEN CAST(len(list_distinct(w)) AS DOUBLE) / {n} ELSE 1.0 END",
     }
-    cols = ", ".join(f"{sql[n]} AS {n}" for n, _, _ in rules)
-    bounds = " AND ".join([f"{n} >= {a}" for n, a, _ in rules if a is not None] + [f"{n} <= {b}" for n, _, b in rules if b is not None])
-    return f"WITH m AS (SELECT doc_id, {cols} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)) SELECT * FROM m WHERE {bounds}"
+    cols = ", ".join(f"{sql[k]} AS {k}" for k, _, _ in rules)
+    bounds = " AND ".join([f"{k} >= {a}" for k, a, _ in rules if a is not None] + [f"{k} <= {b}" for k, _, b in rules if b is not None])
+    return rf"WITH m AS (SELECT doc_id, {cols} FROM (SELECT doc_id, t, regexp_extract_all(lower(t), '\S+') AS w FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))) SELECT * FROM m WHERE {bounds}"
