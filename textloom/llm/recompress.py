@@ -8,9 +8,9 @@ parse is therefore the same but for a few symbols at either end, and the symbols
 occur in two documents reveal where long repeats can be.
 
 Stages: (1) one pass names the symbols; they are shuffled by name, and those in one document only go. (2) The rest
-go back to their documents, by key; there every window of ``min_words`` words whose middle lies in a shared symbol
-is hashed. (3) Windows are shuffled by hash; those that occur in two documents are verified repeats. (4) They are merged per
-document to longest spans. Rows are read in hash order as a stream, so a symbol or window that occurs everywhere needs no memory.
+go back to their documents, by key, as stretches of shared symbols, short ones left out; there every window of ``min_words``
+words whose middle lies in a stretch is hashed. (3) Windows are shuffled by hash; those that occur in two documents are
+verified repeats. (4) They are merged per document to longest spans. Rows are read in hash order as a stream, so a symbol or window that occurs everywhere needs no memory.
 
 Defined results: null or empty texts and texts under ``min_words`` words have no spans. Rows that agree in id and text are one
 document; rows that differ in either are two. Null ids are allowed. A passage that repeats only inside one document isn't reported.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, chunks, col, materialize, mix64, ranges, scan
+from .common import batch, chunks, col, list_of, materialize, mix64, ranges, scan
 
 MIN_WORDS, ROUNDS, LONGEST = 50, 12, 4
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -117,8 +117,8 @@ def shared_rows(batches):
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, rounds: int = ROUNDS, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, start, end, n_words)``: longest spans, in characters from 0, end exclusive, whose every window of ``min_words`` words stands in another document too."""
-    if min_words < 5 * longest:
-        raise ValueError("min_words is at least five times longest, else repeats needn't share a symbol")
+    if min_words < 10 * longest + 4:
+        raise ValueError("min_words is at least ten times longest and 4, else repeats needn't share a symbol")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).where("text is not null and length(text) > 0")
     base = base.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text").alias("doc"))
@@ -145,70 +145,85 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, rounds: int = RO
     named = base.select("doc", "text").mapInArrow(name, "h long, doc long, at int, size short")
     named = named.repartition(n, "h").sortWithinPartitions("h", "doc")
     shared = named.mapInArrow(shared_rows, "doc long, at int, size short")
+    least = min_words - 2 * (4 * longest + 1)  # what the ends of a repeat, at most so many words each, leave shared in its middle
     marks = shared.groupBy("doc").agg(F.collect_list("at").alias("at"), F.collect_list("size").alias("size"))
-    marks = materialize(marks.withColumnRenamed("doc", "mark_doc"), "marks")
-    # a repeated row is one document here
-    found = base.join(marks, base.doc == marks.mark_doc).select("doc", "doc_id", "text", "at", "size")
-    windows = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("at", pa.int32())])
+    marks = marks.select(F.col("doc").alias("mark_doc"), _stretches(2 * longest, least)("at", "size").alias("runs"))
+    marks = materialize(marks.where("size(runs) > 0"), "marks")
+    # rows that agree in all are one document
+    found = base.join(marks, base.doc == marks.mark_doc).select("doc", "text", "runs")
+    windows = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("to", pa.int32())])
     half = min_words // 2
 
     def window(batches):
         for b in batches:
-            key, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-            ats, sizes = b.column(2), b.column(3)
-            for first, some in chunks(texts):
-                h, doc, _, _ = scan(some)
+            key, runs = b.column(0).to_numpy(), b.column(2)
+            for first, some in chunks(b.column(1).to_pylist()):
+                h, doc, start, size = scan(some)
                 words = np.bincount(doc, minlength=len(some)) if len(h) else np.zeros(len(some), np.int64)
                 begin = np.cumsum(words) - words
-                a, z = ats.slice(first, len(some)), sizes.slice(first, len(some))
-                d = np.repeat(np.arange(len(some)), np.array([len(x) for x in a]))
-                at, size = a.flatten().to_numpy().astype(np.int64), z.flatten().to_numpy().astype(np.int64)
-                inside = np.zeros(len(h) + 1, np.int32)
-                np.add.at(inside, begin[d] + at, 1)
-                np.add.at(inside, np.minimum(begin[d] + at + size, len(h)), -1)
-                marked = np.cumsum(inside[:-1]) > 0
-                # short symbols between shared ones are taken along
-                gap = np.flatnonzero(~marked)
-                if len(gap):
-                    cut = np.concatenate([[True], np.diff(gap) > 1])
-                    starts = gap[cut]
-                    length = np.diff(np.append(np.flatnonzero(cut), len(gap)))
-                    short = length < 2 * longest
-                    marked[ranges(starts[short], length[short])] = True
-                mid = np.flatnonzero(marked)
+                mine = runs.slice(first, len(some))
+                d = np.repeat(np.arange(len(some)), np.array([len(x) for x in mine]))
+                flat = mine.flatten()
+                lo, hi = (flat.field(k).to_numpy().astype(np.int64) for k in ("start", "end"))
+                mid = ranges(begin[d] + lo, hi - lo)
+                d = np.repeat(d, hi - lo)
                 s = mid - half
-                ok = (s >= begin[doc[mid]]) & (s + min_words <= begin[doc[mid]] + words[doc[mid]])
-                s, dd = s[ok], doc[mid[ok]]
-                for i in range(0, len(s), 1_000_000):
-                    t, e = s[i : i + 1_000_000], dd[i : i + 1_000_000]
-                    yield batch(windows, window_hashes(h, t, min_words).view(np.int64), key[first + e], (t - begin[e]).astype(np.int32))
-
-    rows = found.select("doc", "text", "at", "size").mapInArrow(window, "h long, doc long, at int")
+                ok = (s >= begin[d]) & (s + min_words <= begin[d] + words[d])
+                s, d = s[ok], d[ok]
+                for i in range(0, len(s), 200_000):
+                    t, e = s[i : i + 200_000], d[i : i + 200_000]
+                    last = t + min_words - 1
+                    yield batch(windows, window_hashes(h, t, min_words).view(np.int64), key[first + e], ((t - begin[e]) << 32) | start[t], (start[last] + size[last]).astype(np.int32))
+
+    rows = found.mapInArrow(window, "h long, doc long, place long, to int")
     rows = rows.repartition(n, "h").sortWithinPartitions("h", "doc")
-    twice = rows.mapInArrow(shared_rows, "doc long, at int")
-    starts = twice.groupBy("doc").agg(F.collect_list("at").alias("starts")).withColumnRenamed("doc", "hit_doc")
-    hits = base.join(starts, base.doc == starts.hit_doc).select("doc_id", "text", "starts")
-    return hits.select("doc_id", F.explode(_merge(min_words)("text", "starts")).alias("s")).select("doc_id", "s.start", "s.end", "s.n_words").distinct()
+    twice = rows.mapInArrow(shared_rows, "doc long, place long, to int")
+    spans = twice.groupBy("doc").agg(F.collect_list("place").alias("places"), F.collect_list("to").alias("tos"))
+    spans = spans.select("doc", F.explode(_merge(min_words)("places", "tos")).alias("s"))
+    ids = base.select("doc", "doc_id").distinct()
+    return spans.join(ids, "doc").select("doc_id", "s.start", "s.end", "s.n_words")
+
+
+def _stretches(gap: int, least: int):
+    """Words of shared symbols, and of under ``gap`` words between them, as stretches of at least ``least`` words."""
+
+    @F.arrow_udf("array<struct<start: int, end: int>>")
+    def stretches(at: pa.Array, size: pa.Array) -> pa.Array:
+        counts, starts, ends = [], [], []
+        for i in range(len(at)):
+            a, z = at[i].values.to_numpy().astype(np.int64), size[i].values.to_numpy().astype(np.int64)
+            order = np.argsort(a, kind="stable")
+            a = a[order]
+            reach = np.maximum.accumulate(a + z[order])
+            cut = np.flatnonzero(a[1:] - reach[:-1] >= gap) + 1
+            s, e = a[np.append(0, cut)], reach[np.append(cut - 1, len(a) - 1)]
+            long = e - s >= least
+            counts.append(int(long.sum()))
+            starts.append(s[long])
+            ends.append(e[long])
+        flat = [pa.array(np.concatenate(x) if x else np.zeros(0), pa.int32()) for x in (starts, ends)]
+        return list_of(np.array(counts, np.int64), pa.StructArray.from_arrays(flat, ["start", "end"]))
+
+    return stretches
 
 
 def _merge(width: int):
-    """Windows' first words to merged spans in characters."""
+    """Windows as (first word and character, last character) to merged spans in characters."""
 
     @F.arrow_udf("array<struct<start: int, end: int, n_words: int>>")
-    def merge(text: pa.Array, starts: pa.Array) -> pa.Array:
-        out = []
-        texts = text.to_pylist()
-        for first, some in chunks(texts):
-            _, doc, at, size = scan(some)
-            words = np.bincount(doc, minlength=len(some)) if len(doc) else np.zeros(len(some), np.int64)
-            begin = np.cumsum(words) - words
-            for i in range(len(some)):
-                s = np.unique(starts[first + i].values.to_numpy()).astype(np.int64)
-                cut = np.concatenate([[True], np.diff(s) > width])
-                a = s[cut]
-                z = s[np.append(np.flatnonzero(cut)[1:] - 1, len(s) - 1)] + width
-                lo, hi = begin[i] + a, begin[i] + z - 1
-                out.append([{"start": int(x), "end": int(y), "n_words": int(k)} for x, y, k in zip(at[lo], at[hi] + size[hi], z - a)])
-        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32())])))
+    def merge(places: pa.Array, tos: pa.Array) -> pa.Array:
+        counts, parts = [], ([], [], [])
+        for i in range(len(places)):
+            p, to = places[i].values.to_numpy(), tos[i].values.to_numpy()
+            order = np.argsort(p, kind="stable")
+            p, to = p[order], to[order]
+            word, start = p >> 32, p & 0xFFFFFFFF
+            cut = np.flatnonzero(np.diff(word) > width) + 1
+            first, last = np.append(0, cut), np.append(cut - 1, len(p) - 1)
+            counts.append(len(first))
+            for held, v in zip(parts, (start[first], to[last], word[last] + width - word[first])):
+                held.append(v)
+        flat = [pa.array(np.concatenate(x) if x else np.zeros(0), pa.int32()) for x in parts]
+        return list_of(np.array(counts, np.int64), pa.StructArray.from_arrays(flat, ["start", "end", "n_words"]))
 
     return merge
