@@ -67,7 +67,7 @@ def _votes(text: str, start: int, end: int, kind: str) -> list[int]:
     if kind == "email":
         votes["strict"] = 1 if _EMAIL.fullmatch(s) else -1
         votes["gazetteer"] = 1 if s.rsplit(".", 1)[-1].lower() in TLDS else -1
-        votes["valid"] = -1 if ".." in s or s[0] in ".-" else 1
+        votes["valid"] = -1 if ".." in s or s[0] in ".-" or "." not in s.rsplit("@", 1)[1] else 1
     elif kind == "card":
         votes["strict"] = 1 if re.fullmatch(r"\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{5}", s) else -1
         votes["valid"] = 1 if luhn(digits) else 0

@@ -24,7 +24,7 @@ SAMPLE, BITS, ALPHA, C, PASSES, THRESHOLD, SEED = 20_000, 18, 1.0, 1.0, 12, 0.0,
 
 
 def indicators(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct (text, feature) of all 1- and 2-grams."""
+    """Ascending distinct (text, feature) of all 1- and 2-grams, and of their repetition."""
     docs, feats = [], []
     mask = np.uint64((1 << bits) - 1)
     for first, some in chunks(texts):
@@ -33,8 +33,12 @@ def indicators(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, n
             continue
         same = doc[1:] == doc[:-1]
         pairs = mix64(h[:-1] * np.uint64(3) + h[1:])[same]
-        d = np.concatenate([doc, doc[1:][same]]).astype(np.uint64)
-        key = np.unique((d << np.uint64(bits)) | (np.concatenate([h, pairs]) & mask))
+        # one pattern stands for all 2-grams of a word with itself, one for all words that return after one other
+        twice = doc[1:][same & (h[1:] == h[:-1])]
+        back = doc[2:][(doc[2:] == doc[:-2]) & (h[2:] == h[:-2])]
+        patterns = np.concatenate([np.full(len(twice), 1, np.uint64), np.full(len(back), 2, np.uint64)])
+        d = np.concatenate([doc, doc[1:][same], twice, back]).astype(np.uint64)
+        key = np.unique((d << np.uint64(bits)) | (np.concatenate([h, pairs, patterns]) & mask))
         docs.append((key >> np.uint64(bits)).astype(np.int64) + first)
         feats.append((key & mask).astype(np.int64))
     none = np.zeros(0, np.int64)
