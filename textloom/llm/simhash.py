@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, chunks, col, fresh, materialize, mix64, scan
+from .common import batch, chunks, col, discard, fresh, materialize, mix64, scan
 
 MAX_DISTANCE, TABLES, BITS, BUCKET_CAP = 24, 24, 12, 4096
 #: Additional bits of each split of an oversized bucket, and number of such splits: recall 0.97 at 24 of 128 bits.
@@ -194,7 +194,8 @@ def components(pairs: DataFrame) -> DataFrame:
         least = F.min("v").over(W.partitionBy("u"))
         small = large.withColumn("m", least)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        pairs = materialize(small.where("u <> v").distinct(), "edges")
+        before, pairs = pairs, materialize(small.where("u <> v").distinct(), "edges")
+        discard(before)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
