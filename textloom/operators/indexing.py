@@ -20,20 +20,17 @@ def features(docs: DataFrame, array: str, id_col: str = "doc_id") -> DataFrame:
 def build_vocabulary(feats: DataFrame, minimum: int = 0) -> DataFrame:
     """``(dim, feature, n_obs)``: a feature gets the next id at its ``minimum``-th occurrence (0 and 1: the first) by (doc_id, pos).
 
-    The occurrence that counts comes from a small array kept by aggregation for the usual small minimum, so frequent
-    features don't meet in one window; ids are numbered over distinct features only.
+    Spark keeps the first ``minimum`` rows a feature before it shuffles (window group limit), so frequent features
+    don't meet in one task; ids are numbered over distinct features only.
     """
     nth = max(minimum, 1)
+    totals = feats.groupBy("feature").agg(F.count("*").alias("n_obs"))
     if nth == 1:
         seen = feats.groupBy("feature").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("n_obs"))
     else:
-        # first to document level on the map side: a document needs only its first `nth` occurrences
-        per_doc = feats.groupBy("feature", "doc_id").agg(F.slice(F.array_sort(F.collect_list("pos")), 1, nth).alias("pos"), F.count("*").alias("n"))
-        w = W.partitionBy("feature").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)
-        reached = per_doc.withColumn("upto", F.sum("n").over(w))
-        total = F.sum("n").over(W.partitionBy("feature"))
-        at = F.element_at("pos", (F.lit(nth) - (F.col("upto") - F.col("n"))).cast("int"))
-        seen = reached.withColumn("n_obs", total).where(f"upto >= {nth} and upto - n < {nth}").select("feature", F.struct("doc_id", at.alias("pos")).alias("at"), "n_obs")
+        k = F.row_number().over(W.partitionBy("feature").orderBy("doc_id", "pos"))
+        reached = feats.withColumn("k", k).where(F.col("k") == nth).select("feature", F.struct("doc_id", "pos").alias("at"))
+        seen = reached.join(totals, "feature")
     rows = seen.select("feature", "n_obs", F.col("at.doc_id").alias("doc_id"), F.col("at.pos").alias("pos"))
     return row_numbers(rows, "doc_id", ["pos"], "row").select((F.col("row") - 1).cast("int").alias("dim"), "feature", "n_obs")
 

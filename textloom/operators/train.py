@@ -124,7 +124,7 @@ def evaluate(predictions: DataFrame, points: DataFrame, threshold: float = 0.5)
     whole = metrics.micro_macro(counts)
     rows = F.array(*[F.struct(F.lit(m).alias("metric_type"), F.lit(None).cast("string").alias("label"), F.col(c).alias("value")) for m, c in (("F1", "micro_f1"), ("MacroF1", "macro_f1"))])
     out = labelled.unionByName(whole.select(F.explode(rows).alias("m")).select("m.*"))
-    return out.select("metric_type", F.lit("Alloy").alias("metric_class"), "label", F.lit(0.0).alias("x"), "value")
+    return out.select("metric_type", F.lit("Model").alias("metric_class"), "label", F.lit(0.0).alias("x"), "value")
 
 
 def cross_validate(make, docs: DataFrame, points: DataFrame, folds: int = 5, portion: float = 1.0) -> DataFrame:

@@ -251,7 +251,7 @@ def _fold_metrics(spark, d):
 
 
 def xval_average(spark, d):
-    m = _fold_metrics(spark, d).select(F.lit("LabelF1").alias("metric_type"), F.lit("Alloy").alias("metric_class"), F.concat_ws("/", "model", "label").alias("label"), F.col("portion").alias("x"), "value")
+    m = _fold_metrics(spark, d).select(F.lit("LabelF1").alias("metric_type"), F.lit("Model").alias("metric_class"), F.concat_ws("/", "model", "label").alias("label"), F.col("portion").alias("x"), "value")
     return _rounded(M.average_metrics(m), "value")
 
 
@@ -387,7 +387,7 @@ ORACLES = {
     "label_probabilities": f"WITH {SCORES} SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY probability) - 1 AS INTEGER) AS rank, round(probability, 6) AS probability FROM scores",
     "confidence_deciles": f"WITH {SCORES}, r AS (SELECT label, probability, row_number() OVER (PARTITION BY label ORDER BY probability) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM scores) SELECT label, CAST(i AS INTEGER) AS decile, round(probability, 6) AS probability FROM r, (SELECT unnest(range(1, 10)) AS i) WHERE k = greatest(n // 10 - 1, 0) + (i - 1) * (n // 10) + (i * (n % 10)) // 10",
     "confidence_minmax": f"WITH {SCORES} SELECT label, round(min(probability), 6) AS least, round(max(probability), 6) AS most FROM scores GROUP BY label",
-    "xval_average": f"WITH {_FM} SELECT 'LabelF1' AS metric_type, 'Alloy' AS metric_class, model || '/' || label AS label, portion AS x, round(avg(value), 6) AS value FROM fm GROUP BY ALL",
+    "xval_average": f"WITH {_FM} SELECT 'LabelF1' AS metric_type, 'Model' AS metric_class, model || '/' || label AS label, portion AS x, round(avg(value), 6) AS value FROM fm GROUP BY ALL",
     "learning_curve": f"WITH {_FM} SELECT 'LabelF1' AS metric_type, label, portion, round(avg(value), 6) AS value FROM fm WHERE model = 'm1' GROUP BY ALL",
     "competition_winner": f"WITH {SCORES} SELECT model AS name, round(avg(probability), 6) AS f1 FROM scores GROUP BY model ORDER BY avg(probability) DESC, model LIMIT 1",
     "labeled_points_binary": f"WITH {_POINTS} SELECT * FROM points",
