@@ -98,7 +98,7 @@ def mix(docs: DataFrame, schedules=SCHEDULES, default: float = DEFAULT, budget:
     seg = seg.join(supplies, seg.source.eqNullSafe(supplies.source)).drop(supplies.source)
     # one row a source, the stretches as an array: a document then finds its stretch without a range join
     parts = seg.groupBy(F.col("source").alias("g_source")).agg(F.first("budget").alias("budget"), F.array_sort(F.collect_list(F.struct("t0", "t1", "s0", "s1", "d0", "d1"))).alias("parts"), F.max("d1").alias("demand"))
-    w = W.partitionBy("source", "bucket").orderBy("order_key", F.col("doc_id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy("source", "bucket").orderBy("order_key", F.col("doc_id").asc_nulls_first(), "n_tokens").rowsBetween(W.unboundedPreceding, 0)
     r = rows.join(totals, rows.source.eqNullSafe(totals.b_source) & (rows.bucket == totals.b_bucket)).drop("b_source", "b_bucket")
     r = r.withColumn("start", F.sum("n_tokens").over(w) - F.col("n_tokens") + F.col("before"))
     r = r.join(parts, r.source.eqNullSafe(parts.g_source)).drop("g_source")

@@ -22,7 +22,8 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    """Documents in groups of two or more, each with the smallest id of its group."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "group_id")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
