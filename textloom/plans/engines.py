@@ -15,7 +15,7 @@ from ..functions import tokenizer as T
 from ..operators import crf, dataset, models, rules, spans, train
 from ..operators import reduce as R
 from ..sources import io, store
-from .base import documents, line_spans, scores, table
+from .base import line_spans, scores, table
 from .graph import TransformGraph
 from .reductions import RULES
 

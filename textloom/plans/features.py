@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import metrics
-from .base import TOKS, W_SQL, documents, table
+from .base import TOKS, documents, table
 
 STOPS = {
     "en": "the and of to in is it that for on with as was by are be this an a or from at",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import indexing as I
 from ..operators import models as M
-from .base import COUNTS, TOKS, VOCAB, W_SQL, documents, table
+from .base import COUNTS, TOKS, VOCAB, documents, table
 
 
 def _feats(spark, d):
