@@ -136,6 +136,9 @@ def test_dataset(spark):
     assert {r.fold for r in folds} == {0}
     sizes = [r["count"] for r in dataset.with_shuffled_fold(two, 4).groupBy("fold").count().collect()]
     assert sizes == [250] * 4
+    assert dataset.dealt_folds(10, 3, 1) == [0, 0, 1, 2, 1, 2, 0, 0, 1, 2]
+    dealt = dataset.with_dealt_fold(two.limit(20), 3).orderBy("doc_id").collect()
+    assert [r.fold for r in dealt] == dataset.dealt_folds(20, 3)
 
 
 def test_crf(spark):

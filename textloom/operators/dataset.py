@@ -92,3 +92,41 @@ def random_holdout(docs: DataFrame, portion: float, seed: int = 42, key: str = "
     """Held-out and other rows by a keyed hash."""
     held = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(portion * 1_000_000)
     return docs.where(held), docs.where(~held)
+
+
+#: A positional deal is a list on the driver; beyond so many rows folds go by hash.
+MOST_DEALT = 1_000_000
+
+
+def dealt_folds(n: int, k: int, seed: int = 1) -> list[int]:
+    """Folds of n rows in order: 0 ... k - 1 in turn, shuffled from the end by the JVM's 48-bit linear congruential generator."""
+    if n > MOST_DEALT:
+        raise ValueError(f"{n} rows are too many to deal by position; use with_shuffled_fold")
+    state = (seed ^ 0x5DEECE66D) & ((1 << 48) - 1)
+
+    def bits(count: int) -> int:
+        nonlocal state
+        state = (state * 0x5DEECE66D + 0xB) & ((1 << 48) - 1)
+        return state >> (48 - count)
+
+    def below(m: int) -> int:
+        if m & (m - 1) == 0:
+            return (m * bits(31)) >> 31
+        while True:
+            r = bits(31)
+            if r - r % m + m - 1 < 1 << 31:
+                return r % m
+
+    folds = [i % k for i in range(n)]
+    for size in range(n, 1, -1):
+        j = below(size)
+        folds[size - 1], folds[j] = folds[j], folds[size - 1]
+    return folds
+
+
+def with_dealt_fold(docs: DataFrame, k: int, seed: int = 1, order: str = "doc_id") -> DataFrame:
+    """Adds ``fold`` by ``dealt_folds`` in the order, for data whose folds have to be those of earlier runs; under 4k rows all are in fold 0."""
+    n = docs.count()
+    folds = dealt_folds(n, k, seed) if n >= 4 * k else [0] * n
+    table = docs.sparkSession.createDataFrame(list(enumerate(folds, 1)), "_row long, fold int")
+    return row_numbers(docs, order, [], "_row").join(table, "_row").drop("_row")

@@ -135,8 +135,12 @@ def _text(spark, d):
     return table(spark, d, "documents").select("doc_id", "text")
 
 
+def _quick(points):
+    return models.train_simple(points, maxIter=25)
+
+
 def train_kbinary(spark, d):
-    model = train.KBinary(train.Featurizer(1, 1, 2)).fit(_text(spark, d), _points(spark, d))
+    model = train.KBinary(train.Featurizer(1, 1, 2), _quick).fit(_text(spark, d), _points(spark, d))
     return model.predict(_text(spark, d)).select("doc_id", "label", F.round("probability", 4).alias("probability"))
 
 
@@ -153,7 +157,7 @@ def best_pipeline(spark, d):
 
     results = []
     for name, n in (("unigrams", 1), ("bigrams", 2)):
-        m = train.KBinary(train.Featurizer(n, n, 3)).fit(_text(spark, d), _points(spark, d))
+        m = train.KBinary(train.Featurizer(n, n, 3), _quick).fit(_text(spark, d), _points(spark, d))
         scored = m.predict(_text(spark, d)).join(_points(spark, d), ["doc_id", "label"]).select("label", F.col("probability").alias("score"), (F.col("y") == 1).alias("positive")).cache()
         for label in m.weights:
             results.append((label, name, metrics.auroc(scored.where(F.col("label") == label).select("score", "positive")).first().auroc))
@@ -161,7 +165,7 @@ def best_pipeline(spark, d):
 
 
 def model_roundtrip(spark, d):
-    model = train.KBinary(train.Featurizer(1, 1, 2)).fit(_text(spark, d), _points(spark, d))
+    model = train.KBinary(train.Featurizer(1, 1, 2), _quick).fit(_text(spark, d), _points(spark, d))
     path = _folder(spark, "model")
     store.save(model.tables(), path, task="classification.multiple")
     again = train.KBinary.from_tables(store.load(spark, path), least=1, most=1, minimum=2)
@@ -169,7 +173,7 @@ def model_roundtrip(spark, d):
 
 
 def training_stats(spark, d):
-    model = train.KBinary(train.Featurizer(1, 1, 2)).fit(_text(spark, d), _points(spark, d))
+    model = train.KBinary(train.Featurizer(1, 1, 2), _quick).fit(_text(spark, d), _points(spark, d))
     path = _folder(spark, "model")
     store.save(model.tables() | {"summaries": train.evaluate(model.predict(_text(spark, d)), _points(spark, d))}, path)
     return store.training_summaries(spark, path)
