@@ -86,21 +86,22 @@ def mix(docs: DataFrame, schedules=SCHEDULES, default: float = DEFAULT, budget:
         raise ValueError(f"carried columns clash with the result's: {sorted(clash)}")
     rows = docs.select(col(id_col).alias("doc_id"), col(source_col).alias("source"), count_words(col(text_col)).alias("n_tokens"), F.struct(*[col(c) for c in carry]).alias("carried") if carry else F.lit(None).cast("int").alias("carried")).where("n_tokens > 0")
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = rows.withColumn("order_key", key).withColumn("bucket", F.substring("order_key", 1, 3))
-    totals = rows.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
-    before = F.sum("in_bucket").over(W.partitionBy("source").orderBy("bucket")) - F.col("in_bucket")
-    totals = totals.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), before.alias("before"), F.sum("in_bucket").over(W.partitionBy("source")).alias("supply"))
-    supplies = totals.groupBy(F.col("b_source").alias("source")).agg(F.first("supply").alias("supply"))
+    # nulls keyed apart: on a null-safe join the window below would not find its partitioning again
+    rows = rows.withColumn("mix", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("order_key", key).withColumn("bucket", F.substring("order_key", 1, 3))
+    totals = rows.groupBy("mix", "bucket").agg(F.first("source").alias("source"), F.sum("n_tokens").alias("in_bucket"))
+    before = F.sum("in_bucket").over(W.partitionBy("mix").orderBy("bucket")) - F.col("in_bucket")
+    totals = totals.select("mix", "bucket", "source", before.alias("before"), F.sum("in_bucket").over(W.partitionBy("mix")).alias("supply"))
+    supplies = totals.groupBy("mix").agg(F.first("source").alias("source"), F.first("supply").alias("supply"))
     tokens = F.lit(int(budget)) if budget is not None else F.coalesce(F.sum("supply").over(W.partitionBy()), F.lit(0))
-    supplies = supplies.select("source", tokens.alias("budget"))
-    seg = segments(supplies.select("source"), schedules, default)
-    seg = seg.join(supplies, seg.source.eqNullSafe(supplies.source)).drop(supplies.source)
+    supplies = supplies.select("mix", "source", tokens.alias("budget"))
     # one row a source, the stretches as an array: a document then finds its stretch without a range join
-    parts = seg.groupBy(F.col("source").alias("g_source")).agg(F.first("budget").alias("budget"), F.array_sort(F.collect_list(F.struct("t0", "t1", "s0", "s1", "d0", "d1"))).alias("parts"), F.max("d1").alias("demand"))
-    w = W.partitionBy("source", "bucket").orderBy("order_key", F.col("doc_id").asc_nulls_first(), "n_tokens").rowsBetween(W.unboundedPreceding, 0)
-    r = rows.join(totals, rows.source.eqNullSafe(totals.b_source) & (rows.bucket == totals.b_bucket)).drop("b_source", "b_bucket")
+    seg = segments(supplies.select("source"), schedules, default).withColumn("mix", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
+    parts = seg.groupBy("mix").agg(F.array_sort(F.collect_list(F.struct("t0", "t1", "s0", "s1", "d0", "d1"))).alias("parts"), F.max("d1").alias("demand"))
+    # what a document needs to know of its bucket and source, joined to the texts in one go: they move once for it, once to be sorted
+    known = totals.drop("source").join(parts.join(supplies.drop("source"), "mix"), "mix")
+    w = W.partitionBy("mix", "bucket").orderBy("order_key", F.col("doc_id").asc_nulls_first(), "n_tokens").rowsBetween(W.unboundedPreceding, 0)
+    r = rows.join(known, ["mix", "bucket"])
     r = r.withColumn("start", F.sum("n_tokens").over(w) - F.col("n_tokens") + F.col("before"))
-    r = r.join(parts, r.source.eqNullSafe(parts.g_source)).drop("g_source")
     epochs = F.least(F.lit(max_epochs).cast("double"), F.ceil((F.col("demand") * F.col("budget") - F.col("start")) / F.col("supply"))).cast("int")
     r = r.where(F.col("demand") > 0).withColumn("epochs", epochs).where("epochs >= 1")
     r = r.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
