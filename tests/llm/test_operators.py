@@ -163,6 +163,23 @@ def test_licenses(spark):
     assert got == want and want
 
 
+def test_licenses_wrapped(spark):
+    """Notices over several lines, and the notices and standard texts that had no template."""
+    texts = [
+        "Some words.\n# Licensed under the Apache License,\n# Version 2.0.\nMore.",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+        "x\n\nThis Source Code Form is subject to the terms of the\nMozilla Public License, v. 2.0. If a copy",
+        "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles (the \"Software\"), to deal in the Software without\nrestriction",
+        "a\nLicensed under CC BY-NC 4.0.",
+        "This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n// the Free Software Foundation",
+        "Released under the MIT License.\nReleased under the\nMIT License.",
+        "released\n" + "filler words here\n" * 9 + "under the mit license"[:9] + "\n" + "other filler\n" * 9 + "mit",
+    ]
+    got = {(x.doc_id, x.block, x.template) for x in licenses.scan_licenses(frame(spark, texts), runs=True).collect()}
+    assert {(0, 1, "apache-2.0"), (1, 0, "bsd-text"), (2, 2, "mpl-2.0-header"), (3, 0, "mit-text"), (4, 1, "cc-by-nc-4.0"), (5, 0, "gpl-header"), (6, 0, "mit"), (6, 1, "mit")} <= got
+    assert not any(d == 7 for d, *_ in got) and not {(0, 1, "mit"), (6, 0, "apache-2.0")} & got
+
+
 def near_copies(n, r, size=120):
     texts = []
     for _ in range(n):

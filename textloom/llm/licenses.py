@@ -1,7 +1,7 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a line. Block and template are sets of lower-cased words; a pair qualifies if the block holds at least
-``threshold`` of the template's words. Words are ordered by their frequency over the blocks of the whole corpus,
+A block is a line or, where a notice is wrapped, a run of adjacent lines. Block and template are sets of lower-cased
+words; a pair qualifies if the block holds at least ``threshold`` of the template's words. Words are ordered by their frequency over the blocks of the whole corpus,
 rarest first. A template's prefix is its |T| - o + 1 rarest words, o the overlap it needs: a block without any of them
 cannot qualify (prefix filter). A block has to have o words at all (length filter), and from the first common
 word on both sides have to have enough words left (positional filter). The rest is verified by intersection.
@@ -9,6 +9,11 @@ word on both sides have to have enough words left (positional filter). The rest
 Only template words take part, so a row is a short array, all of it native expressions. The frequency count
 shuffles one row a template word; the join is of literals, and nothing else moves.
 
+A run qualifies for a template if none of its lines does so alone and some stretch of its text that crosses a line end holds
+enough of the template's words among at most ``SPREAD`` times as many words as the template has: words that are
+scattered over a page are no notice. Of overlapping runs the one that ends first counts, of these the shortest. Only
+documents that hold enough words of a template anywhere are searched for runs, in Python; all others are told apart by native expressions.
+
 Defined results: null or empty texts have no blocks. Repeated rows give repeated results. Null ids pass through.
 """
 
@@ -16,11 +21,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter, deque
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, list_of
 
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -31,8 +39,15 @@ TEMPLATES = {
     "mpl-2.0": "subject to the terms of the Mozilla Public License, version 2.0",
     "cc-by-4.0": "licensed under a Creative Commons Attribution 4.0 International License",
     "all-rights-reserved": "Copyright all rights reserved",
+    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
+    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+    "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "lgpl-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
-THRESHOLD = 0.8
+THRESHOLD, SPREAD = 0.8, 2
 _WORD = r"[\p{L}\p{N}]+"
 
 
@@ -65,8 +80,71 @@ def frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "text")
     return {w: int(rows[i] or 0) for i, w in enumerate(vocabulary)}
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, block, template, overlap, containment)`` of every block and template at or over the threshold."""
+def wrapped(text: str, sets: list[tuple[set[str], int]], spread: int = SPREAD) -> list[tuple[int, int, int]]:
+    """``(first line, template's index, overlap)`` of the runs of two or more lines of a lower-cased text that qualify for ``(words, need)``."""
+    lines = [re.findall(r"[^\W_]+", line) for line in text.split("\n")]
+    tokens = [(w, i) for i, line in enumerate(lines) for w in line]
+    out = []
+    for k, (words, o) in enumerate(sets):
+        mine = [(at, w, i) for at, (w, i) in enumerate(tokens) if w in words]
+        if len({w for _, w, _ in mine}) < o:
+            continue
+        # no run goes over a line that qualifies by itself
+        alone = {i for i in {i for _, _, i in mine} if len(words.intersection(lines[i])) >= o}
+        stretch: deque[tuple[int, str, int]] = deque()
+        held: Counter[str] = Counter()
+        for at, w, i in mine:
+            if i in alone:
+                stretch.clear()
+                held.clear()
+                continue
+            stretch.append((at, w, i))
+            held[w] += 1
+            while stretch[0][0] <= at - spread * len(words) or held[stretch[0][1]] > 1:
+                held -= Counter([stretch.popleft()[1]])
+            if len(held) >= o:
+                start = stretch[0][2]
+                out.append((start, k, len(words.intersection(w for line in lines[start : i + 1] for w in line))))
+                stretch.clear()
+                held.clear()
+    return out
+
+
+def wrapped_rows(docs: DataFrame, sets: dict[str, list[str]], threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``scan_licenses`` for runs of two or more lines."""
+    names = list(sets)
+    given = [(set(s), need(len(s), threshold)) for s in sets.values()]
+
+    @F.arrow_udf("array<struct<block: int, template: int, overlap: int>>")
+    def runs(v: pa.Array) -> pa.Array:
+        rows = [wrapped(t or "", given) for t in v.to_pylist()]
+        flat = [r for x in rows for r in x]
+        struct = pa.StructArray.from_arrays([pa.array([r[k] for r in flat], pa.int32()) for k in range(3)], ["block", "template", "overlap"])
+        return list_of(np.fromiter(map(len, rows), np.int64, len(rows)), struct)
+
+    # the generator keeps the filters below from lowering the text once a word
+    some = docs.where(F.contains(col(text_col), F.lit("\n"))).select(col(id_col).alias("doc_id"), F.explode_outer(F.array(F.lower(col(text_col)))).alias("text"))
+    # every template word by itself is sought as a string: that finds more than words, never less
+    holds = lambda w: F.contains("text", F.lit(w)).cast("int")
+    possible = F.lit(False)
+    for s, o in given:
+        # longest words first: at least one of any size - o + 1 words has to be there
+        rare = sorted(s, key=lambda w: (-len(w), w))
+        first = F.lit(False)
+        for w in rare[: len(s) - o + 1]:
+            first = first | F.contains("text", F.lit(w))
+        possible = possible | (first & (sum((holds(w) for w in rare[1:]), holds(rare[0])) >= o))
+    found = some.where(possible).select("doc_id", F.explode(runs.asNondeterministic()(F.col("text"))).alias("h"))
+    label = F.array(*[F.lit(n) for n in names])[F.col("h.template")]
+    size = F.array(*[F.lit(float(len(sets[n]))) for n in names])[F.col("h.template")]
+    return found.select("doc_id", "h.block", label.alias("template"), "h.overlap", (F.col("h.overlap") / size).alias("containment"))
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
+    """``(doc_id, block, template, overlap, containment)`` of every block and template at or over the threshold.
+
+    ``block`` is the number of its first line. ``runs``: whether runs of adjacent lines are blocks too.
+    """
     sets = {name: template_words(t) for name, t in templates.items() if template_words(t)}
     vocabulary = sorted({w for s in sets.values() for w in s})
     if not vocabulary:
@@ -100,7 +178,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
         overlap = F.when(possible, F.size(common)).otherwise(0)
         hits.append(F.struct(F.lit(name).alias("template"), overlap.cast("int").alias("overlap"), F.lit(o).alias("need"), (overlap / F.lit(float(size))).alias("containment")))
     found = rows.select("doc_id", "block", F.explode(F.filter(F.array(*hits), lambda h: h["overlap"] >= h["need"])).alias("h"))
-    return found.select("doc_id", "block", "h.template", "h.overlap", "h.containment")
+    found = found.select("doc_id", "block", "h.template", "h.overlap", "h.containment")
+    return found.unionByName(wrapped_rows(docs, sets, threshold, id_col, text_col)) if runs else found
 
 
 def oracle(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
