@@ -132,6 +132,23 @@ def test_secrets():
     assert secrets.secrets_of("x = x + 'abcdefgh1'\n" * 500) == []
 
 
+def test_secrets_whole():
+    """Values after long blanks, on the next line, in brackets, of very many parts, and unclosed."""
+    key = "x9!Kd82jsPq"
+    for text in (f'db_password{" " * 12}= "{key}"', f"db_password{' ' * 9}: {key}", f'db_password ={" " * 30}"{key}"', f'db_password =\n    "{key}"', f'password = (\n    "{key}"\n)', f'tokens_secret = ["{key}"]'):
+        assert [text[a:b] for a, b, *_ in secrets.secrets_of(text)] == [key], text
+    many = [f"{i:04d}aZ" for i in range(100)]
+    text = "password = " + " + ".join(f'"{x}"' for x in many)
+    assert [text[a:b] for a, b, *_ in secrets.secrets_of(text)] == many
+    text = "a = " + " + ".join(f'"{x}"' for x in many) + "\npassword = a"
+    assert [text[a:b] for a, b, *_ in secrets.secrets_of(text)] == many
+    text = 'password = "' + "x9!Kd82jsPq" * 500
+    assert [(a, b) for a, b, *_ in secrets.secrets_of(text)] == [(12, len(text))]
+    assert secrets.secrets_of('password:\n  "color": "f0ddae3b09ae356cbefecdd3"') == []
+    assert len(secrets.secrets_of("password = password + 'abcdefgh1'\n" * 20_000)) == 20_000
+    assert secrets.secrets_of(("a" + " " * 50) * 5_000 + "=") == []
+
+
 def test_redact(spark):
     docs = frame(spark, ['one token = "f0ddae3b09ae356cbefecdd3" two secret: "9f0ddae3b09ae356cbefecdd4"', "plain", None])
     out = {r.doc_id: r for r in secrets.redact_secrets(docs).collect()}

@@ -36,14 +36,16 @@ _HARMLESS = {"public", "tokenizer", "tokens", "length", "count", "size", "type",
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\[.*\]|\{\{?.*\}?\}|%\w+%|change.?me|your.*|my.?(?:secret|password|token).*|example.*|sample.*|dummy.*|test(?:ing)?|todo|none|null|nil|undefined|true|false|redacted|placeholder|secret|password|token|string|env(?:iron)?\b.*|os\.(?:environ|getenv).*|process\.env.*|insert.*here)$")
 _NAME = r"[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*(?:\[[\"']?\w+[\"']?\])?"
 _ASSIGN = re.compile(
-    r"(?P<q>[\"']?)(?<![\w.\-$])(?P<name>" + _NAME + r")(?P=q)\s{0,4}(?::\s{0,2}(?:str|String|string|&str|const char\s?\*)\s{0,4}=|=>|:=|\+?=(?![=>])|:(?!:|//))[ \t]{0,8}(?=(?P<v>\S))"
+    r"(?P<q>[\"']?)(?<![\w.\-$])(?P<name>" + _NAME + r")(?P=q)\s*+(?::\s{0,2}(?:str|String|string|&str|const char\s?\*)\s{0,4}=|=>|:=|\+?=(?![=>])|:(?!:|//))"
+    # a string may begin on a later line or after opening brackets, any other value stands on the operator's line
+    r"(?:[\s(\[]*+(?=[rbufRBUF]{0,2}[\"'`])|[ \t]*+)(?=(?P<v>\S))"
 )
 _STRING = re.compile(r"[rbuf]{0,2}(\"\"\"|'''|\"|'|`)", re.I)
 _BARE = re.compile(r"[^\s,;#\"'`<>{}()\[\]]+")
 _JOIN = re.compile(r"\s*[+.]\s*|[ \t]+(?=[\"'])")
 _REF = re.compile(r"\$\{?(\w+)\}?|\{(\w+)\}")
 _IDENT = re.compile(_NAME)
-MAX_PARTS = 64
+_KEY = re.compile(r"\s*+[:=]")
 
 
 def name_score(name: str) -> float:
@@ -85,7 +87,8 @@ def _string(text: str, at: int):
         j = text.find(quote, i)
         if j < 0 or len(quote) == 1 and quote != "`" and "\n" in text[i:j]:
             stop = text.find("\n", start)
-            return None if stop < 0 and j < 0 and len(text) - start > 4096 else (text[start : (stop if stop >= 0 else len(text))], start, stop if stop >= 0 else len(text), stop if stop >= 0 else len(text))
+            stop = stop if stop >= 0 else len(text)
+            return text[start:stop], start, stop, stop
         back = 0
         while text[j - 1 - back] == "\\" and j - 1 - back >= start:
             back += 1
@@ -95,54 +98,70 @@ def _string(text: str, at: int):
 
 
 def assignments(text: str):
-    """``(name, value, spans)`` of each assignment, in order; spans are where the literals stand that make up the value."""
-    known: dict[str, tuple[str, tuple]] = {}
+    """``(name, value, parts)`` of each assignment, in order; parts are where the literals stand that make up the value.
+
+    A part is a span, or the list of parts of a name that stands in the value: lists are shared, so repeated references cost nothing.
+    """
+    known: dict[str, tuple[str, list]] = {}
     at = 0
     while m := _ASSIGN.search(text, at):
         name, i = m.group("name"), m.end()
         at = i
-        value, spans, parts = "", (), 0
-        while parts < MAX_PARTS:
+        values: list[str] = []
+        spans: list = []
+        bare = None
+        while True:
             part = _string(text, i)
             if part:
-                literal, start, end, i = part
-                refs, own = [], ((start, end),)
+                literal, start, end, after = part
+                if not values and re.search(r"[\n(\[]", m.group()[m.end("name") - m.start() :]) and _KEY.match(text, after):
+                    break  # the first key of a nested table
+                i = after
+                refs, own = [], [(start, end)]
                 for r in _REF.finditer(literal):
                     if (k := r.group(1) or r.group(2)) in known:
                         refs.append((r, known[k]))
-                whole = literal
-                for r, (v, _) in reversed(refs):
-                    whole = whole[: r.start()] + v + whole[r.end() :]
+                pieces, last = [], 0
+                for r, (v, _) in refs:
+                    pieces += [literal[last : r.start()], v]
+                    last = r.end()
                 if refs and len(refs[0][0].group()) == len(literal):
-                    own = ()
-                value, spans = value + whole, spans + own + tuple(s for _, (_, ss) in refs for s in ss)
+                    own = []
+                values.append("".join([*pieces, literal[last:]]))
+                spans += own + [ss for _, (_, ss) in refs]
             elif ident := _IDENT.match(text, i):
                 after = text[ident.end() : ident.end() + 1]
                 if ident.group() in known and after not in ("(", "="):
                     v, ss = known[ident.group()]
-                    value, spans, i = value + v, spans + ss, ident.end()
-                elif parts == 0 and after != "(" and (bare := _BARE.match(text, i)):
-                    value, spans, i = bare.group().rstrip(".,;:!?"), ((i, i + len(bare.group().rstrip(".,;:!?"))),), bare.end()
-                    parts = MAX_PARTS
+                    values.append(v)
+                    spans.append(ss)
+                    i = ident.end()
+                elif not values and after != "(":
+                    bare = _BARE.match(text, i)
+                    break
                 else:
                     break
-            elif parts == 0 and (ref := _REF.match(text, i)) and (ref.group(1) or ref.group(2)) in known:
-                value, spans = known[ref.group(1) or ref.group(2)]
+            elif not values and (ref := _REF.match(text, i)) and (ref.group(1) or ref.group(2)) in known:
+                v, ss = known[ref.group(1) or ref.group(2)]
+                values.append(v)
+                spans.append(ss)
                 i = ref.end()
-            elif parts == 0 and (bare := _BARE.match(text, i)):
-                value, spans, i = bare.group().rstrip(".,;:!?"), ((i, i + len(bare.group().rstrip(".,;:!?"))),), bare.end()
-                parts = MAX_PARTS
             else:
+                bare = None if values else _BARE.match(text, i)
                 break
-            parts += 1
             join = _JOIN.match(text, i)
-            if not join or parts >= MAX_PARTS:
+            if not join:
                 break
             i = join.end()
+        if bare:
+            values = [bare.group().rstrip(".,;:!?")]
+            spans = [(i, i + len(values[0]))]
+            i = bare.end()
         if spans:
             at = max(at, i) if text[m.end() : m.end() + 1] in "\"'`" else at
-            # a self-reference such as x = x + "..." must not grow without bound
-            known[name.split(".")[-1]] = known[name] = (value[:4096], spans[:MAX_PARTS])
+            value = "".join(values)
+            # a self-reference such as x = x + "..." must not grow without bound: what is handed on is scored by its beginning, its parts are whole
+            known[name.split(".")[-1]] = known[name] = (value[:4096], spans)
             yield name, value, spans
 
 
@@ -151,6 +170,8 @@ def secrets_of(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int
     if not text or "=" not in text and ":" not in text:
         return []
     best: dict[tuple[int, int], tuple[float, str]] = {}
+    seen: dict[int, float] = {}
+    held = []  # keeps the lists alive, so that none has another's identity
     for name, value, spans in assignments(text):
         ns = name_score(name)
         if ns <= 0:
@@ -158,9 +179,18 @@ def secrets_of(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int
         score = ns * literal_score(value)
         if score < threshold:
             continue
-        for s in spans:
-            if s[1] - s[0] >= 4 and (s not in best or best[s][0] < score):
-                best[s] = (score, name)
+        held.append(spans)
+        todo = [spans]
+        while todo:
+            parts = todo.pop()
+            if seen.get(id(parts), 0.0) >= score:
+                continue
+            seen[id(parts)] = score
+            for s in parts:
+                if isinstance(s, list):
+                    todo.append(s)
+                elif s[1] - s[0] >= 4 and (s not in best or best[s][0] < score):
+                    best[s] = (score, name)
     out: list[tuple[int, int, str, float]] = []
     for (a, b), (score, name) in sorted(best.items()):
         if out and a < out[-1][1]:
