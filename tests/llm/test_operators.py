@@ -435,3 +435,10 @@ def test_rules(spark):
     assert m[0].n_words == 6 and m[0].stop_word_ratio == pytest.approx(4 / 6) and m[5].n_words == 0
     plan = rules.measured(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_stop_and_symbol_bounds(spark):
+    """Long keyword lists without a stop word go, short texts without one stay, and symbols go from a fifth of the words on."""
+    keywords = lambda n: " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+    texts = [keywords(40), keywords(5), keywords(30) + " and the of", "the cat is here #a #b #c and so on", ""]
+    assert {r.doc_id for r in rules.filter_documents(frame(spark, texts)).select("doc_id").collect()} == {1, 2}

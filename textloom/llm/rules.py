@@ -4,10 +4,13 @@ Each rule names a measure and the bounds it has to keep to. Measures are native
 counts by regular expression or ``translate``, and ratios of them. Compiling gives one column a rule and their conjunction.
 
 Defined results: measures of a null text are those of the empty text; ratios over nothing are 0. A bound of null is no bound.
+Short texts of no stop word at all are common, so the stop-word bound holds from 30 words on.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +22,29 @@ STOP_WORDS = (
     "al como con del el es esta la las los no para por se su sus una y "
     "an auf aus bei das dem den der des die ein eine er es ist mit nicht sich sie und von zu"
 )
-#: measure, least, most
+
+
+class Where(NamedTuple):
+    """A bound that is ``value`` where ``measure`` is at least ``least``, else ``other``."""
+
+    measure: str
+    least: float
+    value: float
+    other: float
+
+    def of(self, m: Column) -> Column:
+        return F.when(m[self.measure] >= F.lit(self.least), F.lit(self.value)).otherwise(F.lit(self.other))
+
+    def __str__(self) -> str:
+        return f"CASE WHEN {self.measure} >= {self.least} THEN {self.value} ELSE {self.other} END"
+
+
+#: measure, least, most; bounds are numbers or ``Where``
 RULES = [
     ("n_words", 1, 100_000),
     ("mean_word_length", 1.0, 14.0),
-    ("symbol_word_ratio", None, 0.5),
-    ("stop_word_ratio", 0.0, None),
+    ("symbol_word_ratio", None, 0.2),
+    ("stop_word_ratio", Where("n_words", 30, 0.05, 0.0), None),
     ("upper_ratio", None, 0.5),
     ("bar_ratio", None, 0.1),
     ("bullet_line_ratio", None, 0.9),
@@ -72,13 +92,16 @@ def compile_rules(rules=RULES):
         known = measures(text, w)
         return F.struct(*[known[n].alias(n) for n, _, _ in rules])
 
+    def bound(x, m: Column) -> Column:
+        return x.of(m) if isinstance(x, Where) else F.lit(x)
+
     def keep(m: Column) -> Column:
         out = F.lit(True)
         for n, least, most in rules:
             if least is not None:
-                out = out & (m[n] >= F.lit(least))
+                out = out & (m[n] >= bound(least, m))
             if most is not None:
-                out = out & (m[n] <= F.lit(most))
+                out = out & (m[n] <= bound(most, m))
         return out
 
     return measure, keep
