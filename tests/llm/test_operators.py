@@ -223,6 +223,22 @@ def test_simhash_recall(spark, cap):
     assert kept == set(range(len(texts))) - set(got) | set(got.values())
 
 
+def test_simhash_tables(spark):
+    """Recall of the sampled tables at the limit, and pairs that the splits of one table's buckets miss."""
+    from math import comb
+
+    assert 1 - (1 - comb(128 - simhash.MAX_DISTANCE, simhash.BITS) / comb(128, simhash.BITS)) ** simhash.TABLES >= 0.9
+    g = np.random.default_rng(4)
+    a = g.integers(0, 2, (600, 128), np.uint8)
+    b = a.copy()
+    for row in b:
+        row[g.choice(128, 24, replace=False)] ^= 1
+    words = [np.packbits(x, axis=1).view(np.int64).tolist() for x in (a, b)]
+    points = spark.createDataFrame([tuple(x) for x in words[0] + words[1]], "hi long, lo long")
+    found = {frozenset(((r.a_hi, r.a_lo), (r.b_hi, r.b_lo))) for r in simhash.edges(points, tables=12, bits=1, bucket_cap=100).collect()}
+    assert sum(frozenset((tuple(x), tuple(y))) in found for x, y in zip(*words)) >= 0.995 * len(a)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, chunks, col, discard, fresh, materialize, mix64, scan
 
-MAX_DISTANCE, TABLES, BITS, BUCKET_CAP = 24, 24, 12, 4096
+MAX_DISTANCE, TABLES, BITS, BUCKET_CAP = 24, 32, 12, 4096
 #: Additional bits of each split of an oversized bucket, and number of such splits: recall 0.97 at 24 of 128 bits.
 EXTRA_BITS, EXTRA_TABLES = 6, 11
 _FP = pa.struct([("hi", pa.int64()), ("lo", pa.int64())])
@@ -143,15 +143,11 @@ def edges(points: DataFrame, max_distance: int = MAX_DISTANCE, tables: int = TAB
 
     def search(batches):
         def close(rows: np.ndarray, bucket: int):
+            # in order, so that tables that find the same group give the same edges; every table tries every pair,
+            # since another one's bucket may have been split and have missed it
+            rows = np.ascontiguousarray(rows[np.lexsort((rows[:, 1], rows[:, 0]))])
             fp = rows.view(np.uint64)
             left, right = _bucket_pairs(fp, max_distance, bucket_cap, seed + 1000 * (bucket >> bits))
-            # a pair is left to the first table that holds it
-            for t in range(bucket >> bits):
-                if not len(left):
-                    break
-                k = _keys(fp, samples[t])
-                new = k[left] != k[right]
-                left, right = left[new], right[new]
             if len(left):
                 root = _forest(len(fp), left, right)
                 j = np.flatnonzero(root != np.arange(len(fp)))
