@@ -275,6 +275,14 @@ def test_mixing(spark):
     assert sum(x.s0 for x in seg if x.t0 == 0.5) == pytest.approx(1)
 
 
+def test_mixing_small_source(spark):
+    """A source of little supply starts over until its demand is met, to the end of training."""
+    rows = [(0, "a b c", "en", "src0", 0)] + [(i, "w " * 50, "en", "big", 0) for i in range(1, 200)]
+    out = [r for r in mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect() if r.source == "src0"]
+    assert sum(r.n_tokens for r in out) > 0.5 * 9953 and max(r.position for r in out) > 0.99
+    assert [r.epoch for r in out] == list(range(len(out)))
+
+
 def test_quality_held_out(spark):
     r = random.Random(8)
     good = [prose(r.randint(5, 60), r) + "." for _ in range(300)]

@@ -5,7 +5,7 @@ their sum; between knots shares run linearly, so they sum to 1 everywhere, and a
 their integral, piecewise quadratic. A source's documents follow each other in the order of a keyed hash; the
 document that fills the source's tokens from c to c + n is read when the demand reaches c, so its training
 position solves ``demand(position) * budget = c``. Where a source holds less than its demand, its documents
-start over (``epoch``), at most ``max_epochs`` times; where it holds more, the rest is not read. The budget is the
+start over (``epoch``) as often as the demand asks, or up to ``max_epochs`` times if given; where it holds more, the rest is not read. The budget is the
 corpus's number of tokens unless given.
 
 A source's documents are spread over 4096 hash buckets: running sums are taken inside a bucket, bucket totals are
@@ -77,9 +77,9 @@ def invert(x: Column) -> Column:
     return F.col("t0") + F.least(length, F.when(below > 0, 2 * rest / below).otherwise(0.0))
 
 
-def mix(docs: DataFrame, schedules=SCHEDULES, default: float = DEFAULT, budget: int | None = None, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, schedules=SCHEDULES, default: float = DEFAULT, budget: int | None = None, max_epochs: int | None = None, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, source, epoch, n_tokens, position)`` and the ``carry`` columns, range-sorted by position."""
-    if max_epochs < 1:
+    if max_epochs is not None and max_epochs < 1:
         raise ValueError("max_epochs is at least 1")
     own = ("doc_id", "source", "epoch", "n_tokens", "position")
     if clash := {c.lower() for c in carry} & set(own):
@@ -102,9 +102,12 @@ def mix(docs: DataFrame, schedules=SCHEDULES, default: float = DEFAULT, budget:
     w = W.partitionBy("mix", "bucket").orderBy("order_key", F.col("doc_id").asc_nulls_first(), "n_tokens").rowsBetween(W.unboundedPreceding, 0)
     r = rows.join(known, ["mix", "bucket"])
     r = r.withColumn("start", F.sum("n_tokens").over(w) - F.col("n_tokens") + F.col("before"))
-    epochs = F.least(F.lit(max_epochs).cast("double"), F.ceil((F.col("demand") * F.col("budget") - F.col("start")) / F.col("supply"))).cast("int")
+    asked = F.ceil((F.col("demand") * F.col("budget") - F.col("start")) / F.col("supply")).cast("double")
+    epochs = (asked if max_epochs is None else F.least(F.lit(max_epochs).cast("double"), asked)).cast("int")
     r = r.where(F.col("demand") > 0).withColumn("epochs", epochs).where("epochs >= 1")
-    r = r.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
+    # by thousands first: no array grows with the number of epochs of a very small source
+    r = r.withColumn("thousand", F.explode(F.sequence(F.lit(0), F.floor((F.col("epochs") - 1) / 1000).cast("int"))))
+    r = r.withColumn("epoch", F.explode(F.sequence(F.col("thousand") * 1000, F.least(F.col("thousand") * 1000 + 999, F.col("epochs") - 1))))
     x = (F.col("start") + F.col("epoch") * F.col("supply")) / F.col("budget")
     r = r.withColumn("x", x).where("x < demand")
     part = F.element_at(F.filter("parts", lambda p: p["d1"] > F.col("x")), 1)
