@@ -207,6 +207,28 @@ def near_copies(n, r, size=120):
     return texts
 
 
+def brute_groups(fps, distance):
+    """All near pairs and each point's smallest connected point, pair by pair."""
+    words = [int(a) << 64 | int(b) for a, b in fps.tolist()]
+    pairs = [(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if (words[i] ^ words[j]).bit_count() <= distance]
+    root = list(range(len(words)))
+    for _ in words:
+        before = list(root)
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    return pairs, root
+
+
+def brute_fingerprint(text):
+    hashes = {int(x) >> 20 for x in common.scan([text])[0]}
+    half = len(hashes) / 2
+    mixed = [[int(common.mix64(np.array([np.uint64(h) + k], np.uint64))[0]) for k in (np.uint64(1), np.uint64(0x9E3779B97F4A7C15))] for h in hashes]
+    votes = [sum(m[w] >> b & 1 for m in mixed) > half for w in (0, 1) for b in range(64)]
+    return [sum(1 << b for b in range(64) if votes[64 * w + b]) for w in (0, 1)]
+
+
 @pytest.mark.parametrize("cap", [4096, 40])
 def test_simhash_recall(spark, cap):
     """Against all pairs within the distance, also where buckets are split further."""
@@ -214,20 +236,33 @@ def test_simhash_recall(spark, cap):
     texts += ["same words again"] * 30
     got = {r.doc_id: r.group_id for r in simhash.near_duplicates(frame(spark, texts), bucket_cap=cap).collect()}
     fp, has = simhash.fingerprints(texts)
-    left, right = simhash._near(fp, simhash.MAX_DISTANCE)
-    found = sum(got.get(a, -1) == got.get(b, -2) for a, b in zip(left.tolist(), right.tolist()))
-    assert has.all() and found >= 0.9 * len(left)
-    root = simhash._forest(len(texts), left, right)
+    pairs, root = brute_groups(fp, simhash.MAX_DISTANCE)
+    found = sum(got.get(a, -1) == got.get(b, -2) for a, b in pairs)
+    assert has.all() and found >= 0.9 * len(pairs)
     assert all(root[a] == root[g] for a, g in got.items())
     kept = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, texts), bucket_cap=cap).select("doc_id").collect()}
     assert kept == set(range(len(texts))) - set(got) | set(got.values())
 
 
+def test_simhash_repeated_rows(spark):
+    """Rows that agree in id and text are one of a group; null ids go first, equal ids by text."""
+    docs = frame(spark, ["one two three"] * 3 + ["one two three", "four five six", "four five six", None, None], [7, 7, None, 3, None, None, 1, 1])
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in simhash.drop_near_duplicates(docs).collect()) == [(False, 1, ""), (False, 1, ""), (False, 3, "one two three"), (True, 0, "four five six")]
+
+
+def test_fingerprint_bits():
+    texts = [prose(n) for n in (1, 2, 9, 40)] + ["a a a b", "Aa aA"]
+    fp, has = simhash.fingerprints(texts)
+    assert has.all() and [[int(x) for x in row] for row in fp] == [brute_fingerprint(t) for t in texts]
+
+
 def test_simhash_tables(spark):
-    """Recall of the sampled tables at the limit, and pairs that the splits of one table's buckets miss."""
+    """At every number of bits enough tables for the recall at the limit, and splits that miss next to nothing."""
     from math import comb
 
-    assert 1 - (1 - comb(128 - simhash.MAX_DISTANCE, simhash.BITS) / comb(128, simhash.BITS)) ** simhash.TABLES >= 0.9
+    for bits in range(4, 41):
+        tables = simhash.tables_for(bits)
+        assert 1 - (1 - comb(128 - simhash.MAX_DISTANCE, bits) / comb(128, bits)) ** tables >= 0.919
     g = np.random.default_rng(4)
     a = g.integers(0, 2, (600, 128), np.uint8)
     b = a.copy()
@@ -239,6 +274,65 @@ def test_simhash_tables(spark):
     assert sum(frozenset((tuple(x), tuple(y))) in found for x, y in zip(*words)) >= 0.995 * len(a)
 
 
+def family(size, flips, r):
+    """Points around one centre, each of its bits turned over with the given chance."""
+    centre = r.integers(0, 2, 128, np.uint8)
+    bits = centre ^ (r.random((size, 128)) < flips).astype(np.uint8)
+    return np.unique(np.packbits(bits, axis=1).view(np.uint64), axis=0)
+
+
+@pytest.mark.parametrize("flips", [0.03, 0.06])
+def test_dense_bucket(flips):
+    """Fifty thousand near-identical fingerprints in one bucket: one family, in bounded memory, though over a thousand million pairs are near."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    some = family(50_000, flips, r)
+    far = r.integers(0, 2**63, (3_000, 2)).astype(np.uint64)
+    points = np.concatenate([some, far])
+    tracemalloc.start()
+    root, left = simhash._bucket(points, 24, 4096)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6 and not len(left)
+    sizes = np.bincount(root[: len(some)])
+    assert sizes.max() >= 0.999 * len(some) and (root[len(some) :] == np.arange(len(some), len(points))).all()
+
+
+def test_bucket_is_exact():
+    """Contraction loses no link: the same components as pair by pair, families, chains and loose points together."""
+    for seed in range(6):
+        r = np.random.default_rng(seed)
+        chain = [r.integers(0, 2, 128, np.uint8)]
+        for _ in range(40):
+            step = chain[-1].copy()
+            step[r.choice(128, 20, replace=False)] ^= 1
+            chain.append(step)
+        points = np.unique(np.concatenate([family(250, 0.05, r), family(120, 0.12, r), np.packbits(np.array(chain), axis=1).view(np.uint64)]), axis=0)
+        root, left = simhash._bucket(points, 24, 60)
+        root = simhash._connect(points, 24, root, left)
+        assert root.tolist() == brute_groups(points, 24)[1]
+
+
+def test_corpus_wide_family(spark, monkeypatch):
+    """A family of a third of all points is linked by map-only passes, with what hangs on to it."""
+    r = np.random.default_rng(9)
+    some, loose = family(900, 0.03, r), r.integers(0, 2**63, (1500, 2)).astype(np.uint64)
+    rim = some[:40].copy()
+    for row in rim:  # near one member, mostly too far from the centre's
+        for b in r.choice(64, 18, replace=False).tolist():
+            row[0] ^= np.uint64(1) << np.uint64(b)
+    points = np.unique(np.concatenate([some, loose, rim]), axis=0)
+    df = spark.createDataFrame([tuple(x) for x in points.view(np.int64).tolist()], "hi long, lo long")
+    found, left = simhash.families(df, len(points), 24, 100)
+    assert left.count() <= len(points) - 0.8 * len(some)
+    index = {tuple(x): i for i, x in enumerate(points.view(np.int64).tolist())}
+    pairs = [(index[r.a_hi, r.a_lo], index[r.b_hi, r.b_lo]) for r in simhash.edges(df, bucket_cap=100).collect()]
+    root = simhash._join(np.arange(len(points)), np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    want = brute_groups(points, 24)[1]
+    assert np.mean(root == want) >= 0.99 and all(want[a] == want[b] for a, b in pairs)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]

@@ -6,6 +6,8 @@ import pytest
 import corpus_pipeline
 from textloom.llm import common, decontaminate, queries, secrets, simhash
 
+from test_operators import brute_groups
+
 
 @pytest.fixture(scope="module")
 def stages(spark, sf):
@@ -29,9 +31,7 @@ def test_stages(spark, sf, stages):
         assert df.columns == stages[0].columns
     texts = [r.text for r in good.values()]
     fp, has = simhash.fingerprints(texts)
-    left, right = simhash._near(fp, simhash.MAX_DISTANCE)
-    root = simhash._forest(len(texts), left, right)
-    assert len(single) == len(set(root.tolist()))
+    assert len(single) == len(set(brute_groups(fp, simhash.MAX_DISTANCE)[1]))
     items = [(r.item_id, r.text) for r in common.table(spark, sf, "benchmark").collect()]
     phrases = decontaminate.Phrases(items, decontaminate.PHRASE_WORDS, decontaminate.LEAST_WORDS)
     for i, r in single.items():
