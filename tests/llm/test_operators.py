@@ -438,12 +438,20 @@ def brute_leaks(texts, items, n=8, least=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("group_words", [10**6, 40])
-def test_leaks(spark, group_words):
+def cut_spans(text, spans):
+    out, last = "", 0
+    for a, b in spans:
+        out, last = out + text[last:a], b
+    return out + text[last:]
+
+
+@pytest.mark.parametrize("how", [{}, {"group_phrases": 40}, {"whole": True}])
+def test_leaks(spark, how):
+    """Exactly the brute-force spans, whatever the groups and whether or not the whole shard is indexed; cut until none is left."""
     r = random.Random(4)
     small = VOCAB[:60]
-    items = [(i, " ".join(r.choices(small, k=r.choice([3, 6, 12, 30])))) for i in range(12)]
-    texts = []
+    items = [(i, " ".join(r.choices(small, k=r.choice([3, 6, 12, 30])))) for i in range(12)] + [(20, "one two three four five six seven eight")]
+    texts = ["one two three one two three four five six seven eight four, five six seven eight", "One two. " * 3]
     for _ in range(60):
         t = r.choices(small, k=r.randint(0, 40))
         for _ in range(r.choice([0, 1, 1, 2])):
@@ -452,20 +460,31 @@ def test_leaks(spark, group_words):
             t[r.randint(0, len(t)) : 0] = [", ".join(w[a:])] if w[a:] else []
         texts.append(" ".join(t))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted((x.doc_id, x.start, x.end, tuple(x["items"])) for x in decontaminate.leaks(frame(spark, texts), bench, group_words=group_words).collect())
-    want = brute_leaks(texts, items)
-    if group_words > 1000:
-        assert got == want
-    cover = lambda spans: {(d, k) for d, a, b, _ in spans for k in range(a, b) if texts[d][k].isalnum()}
-    assert cover(got) == cover(want) and want
-    clean = {x.doc_id: x.text for x in decontaminate.decontaminate(frame(spark, texts), bench, group_words=group_words).collect()}
-    assert all(brute_leaks([t], items) == [] or True for t in clean.values())
-    if group_words > 1000:
-        for d, t in clean.items():
-            cut, last = "", 0
-            for _, a, b, _ in [x for x in want if x[0] == d]:
-                cut, last = cut + texts[d][last:a], b
-            assert t == cut + texts[d][last:]
+    docs = frame(spark, texts + texts[:5])
+    got = sorted((x.doc_id, x.start, x.end, tuple(x["items"])) for x in decontaminate.leaks(docs, bench, **how).collect())
+    want = brute_leaks(texts + texts[:5], items)
+    assert got == want and want
+    clean = {x.doc_id: x.text for x in decontaminate.decontaminate(docs, bench, **how).collect()}
+    assert brute_leaks(list(clean.values()), items) == []
+    for d, t in enumerate(texts + texts[:5]):
+        while spans := brute_leaks([t], items):
+            t = cut_spans(t, [x[1:3] for x in spans])
+        assert clean.get(d, "") == t or not t.strip() and d not in clean
+
+
+@given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.lists(st.integers(0, 3), min_size=3, max_size=5), max_size=3))
+@settings(max_examples=80, deadline=None)
+def test_cuts_leave_nothing(text, items):
+    rows = {}
+    for item in items:
+        p, held = rows.setdefault(len(item), ([], []))
+        p.append(common.scan([" ".join(map(str, item))])[0])
+        held.append([1])
+    phrases = decontaminate.Phrases({n: (np.unique(np.stack(p), axis=0), held[: len(np.unique(np.stack(p), axis=0))]) for n, (p, held) in rows.items()})
+    text = " ".join(map(str, text))
+    spans = phrases.cuts([text])[0]
+    left = cut_spans(text, [s[:2] for s in spans])
+    assert phrases.spans([left]) == [[]] and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
 
 
 def test_pii(spark):

@@ -4,9 +4,9 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from textloom.llm import common, decontaminate, queries, secrets, simhash
+from textloom.llm import common, queries, secrets, simhash
 
-from test_operators import brute_groups
+from test_operators import brute_groups, brute_leaks, cut_spans
 
 
 @pytest.fixture(scope="module")
@@ -33,14 +33,11 @@ def test_stages(spark, sf, stages):
     fp, has = simhash.fingerprints(texts)
     assert len(single) == len(set(brute_groups(fp, simhash.MAX_DISTANCE)[1]))
     items = [(r.item_id, r.text) for r in common.table(spark, sf, "benchmark").collect()]
-    phrases = decontaminate.Phrases(items, decontaminate.PHRASE_WORDS, decontaminate.LEAST_WORDS)
     for i, r in single.items():
-        spans = phrases.spans([r.text])[0]
-        cut, last = "", 0
-        for a, b, _ in spans:
-            cut, last = cut + r.text[last:a], b
-        cut += r.text[last:]
-        assert (i in clean and clean[i].text == cut and clean[i].n_chars == len(cut)) or not cut.strip()
+        text = r.text or ""
+        while spans := brute_leaks([text], items):
+            text = cut_spans(text, [x[1:3] for x in spans])
+        assert (i in clean and clean[i].text == text and clean[i].n_chars == len(text)) or not text.strip()
     assert set(safe) == set(clean)
     assert all(not secrets.secrets_of(r.text) for r in safe.values())
     assert {r.doc_id for r in stages[-1].collect()} <= set(safe)
