@@ -543,10 +543,17 @@ def test_repeats(spark):
         texts.append(", ".join(t) if i % 3 else " ".join(t).upper())
     texts += [texts[3], texts[4], "de " * 70, None, "", prose(49, r)]
     got = sorted((x.doc_id, x.start, x.end, x.n_words) for x in recompress.repeated_spans(frame(spark, texts)).collect())
-    want = brute_repeats(texts, 50)
-    words = lambda rows: {(d, k) for d, a, b, _ in rows for k in range(a, b)}
-    assert words(got) <= words(want)
-    assert len(words(got)) >= 0.99 * len(words(want))
+    assert got == brute_repeats(texts, 50)
+
+
+def test_repeats_long(spark):
+    """Repeats far over any limit of a symbol: of one word, of distinct words, and of a page with a changed word."""
+    r = random.Random(12)
+    page, other = prose(3000, r).split(), prose(3000, r).split()
+    texts = [" ".join(["same"] * 50_000), " ".join(["Same"] * 50_000), " ".join(page), " ".join(page[:1500] + ["changed"] + page[1501:]), " ".join(other[:700] + page[200:900] + other[700:]), " ".join(["a b"] * 30_000), " ".join(["a b"] * 20_000)]
+    got = sorted((x.doc_id, x.start, x.end, x.n_words) for x in recompress.repeated_spans(frame(spark, texts)).collect())
+    assert got == brute_repeats(texts, 50)
+    assert [x[3] for x in got if x[0] < 2] == [50_000, 50_000]
 
 
 def test_shared_rows_over_batches():
@@ -563,6 +570,8 @@ def test_shared_rows_over_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array([x[k] for x in p], pa.int64()) for k in range(3)], ["h", "d", "i"]) for p in parts]
         got = sorted((x["d"], x["i"]) for b in recompress.shared_rows(iter(batches)) for x in b.to_pylist())
         assert got == sorted((d, i) for h, d, i in rows if len(docs[h]) > 1)
+        got = sorted((x["d"], x["i"], x["first"]) for b in recompress.shared_rows(iter(batches), True) for x in b.to_pylist())
+        assert got == sorted((d, i, d == min(docs[h])) for h, d, i in rows if len(docs[h]) > 1)
 
 
 def test_rules(spark):
