@@ -369,6 +369,50 @@ def test_mixing(spark):
     assert sum(x.s0 for x in seg if x.t0 == 0.5) == pytest.approx(1)
 
 
+def brute_mix(rows, schedules, seed=mixing.SEED, steps=200_000):
+    """Positions by stepping through training time in small steps and reading each source's next document when its demand is there."""
+    import hashlib
+
+    docs = collections.defaultdict(list)
+    for i, text, _, source, _ in rows:
+        if n := len((text or "").split()):
+            docs[source].append((hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i, n))
+    total = sum(n for d in docs.values() for *_, n in d)
+    weight = lambda s, t: mixing._weight(schedules[s], t) if s in schedules else mixing.DEFAULT
+    knots = sorted({0.0, 1.0, *(t for s in schedules.values() for t, _ in s)})
+    share = {s: [weight(s, t) / sum(weight(x, t) for x in docs) for t in knots] for s in docs}
+    out = []
+    for s, mine in docs.items():
+        mine.sort()
+        at, k, demand = 0, 0, 0.0
+        for step in range(steps):
+            t = (step + 0.5) / steps
+            while demand >= at - 1e-6:
+                out.append((mine[k % len(mine)][1], k // len(mine), step / steps))
+                at += mine[k % len(mine)][2]
+                k += 1
+            demand += np.interp(t, knots, share[s]) * total / steps
+    return out
+
+
+def test_mixing_positions(spark):
+    """Each document's positions against training stepped through, in brute force."""
+    r = random.Random(2)
+    rows = [(i, prose(r.randint(1, 30), r), "en", r.choice(["src0", "src0", "src0", "src1", "src3", None]), 0) for i in range(150)] + [(900, "x y z", "en", "tiny", 0)]
+    got = {(x.doc_id, x.epoch): x.position for x in mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {(i, e): t for i, e, t in brute_mix(rows, mixing.SCHEDULES)}
+    late = {k for k, t in want.items() if t > 0.999} | {k for k, t in got.items() if t > 0.999}
+    assert set(got) - late == set(want) - late and max(abs(got[k] - want[k]) for k in set(want) - late) < 2e-3
+
+
+def test_mixing_clash(spark):
+    """Carried columns that are named like the result's stay, under another name."""
+    docs = frame(spark, ["a b", "c d e"]).selectExpr("*", "'mine' AS Position", "1 AS epoch", "2 AS n_tokens", "3 AS c0", "4 AS mix")
+    out = mixing.mix(docs, carry=("text", "Position", "epoch", "n_tokens", "c0", "mix"))
+    assert out.columns == ["doc_id", "source", "epoch", "n_tokens", "position", "text", "_Position", "_epoch", "_n_tokens", "c0", "mix"]
+    assert [(r.doc_id, r._Position, r._epoch, r._n_tokens, r.c0, r.mix) for r in out.collect()][0][1:] == ("mine", 1, 2, 3, 4)
+
+
 def test_mixing_small_source(spark):
     """A source of little supply starts over until its demand is met, to the end of training."""
     rows = [(0, "a b c", "en", "src0", 0)] + [(i, "w " * 50, "en", "big", 0) for i in range(1, 200)]

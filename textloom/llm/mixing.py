@@ -9,10 +9,14 @@ start over (``epoch``) as often as the demand asks, or up to ``max_epochs`` time
 corpus's number of tokens unless given.
 
 A source's documents are spread over 4096 hash buckets: running sums are taken inside a bucket, bucket totals are
-summed up apart, so no task ever holds a whole source. Range-sorting by position ends the plan.
+summed up apart, so no task ever holds a whole source. Range-sorting by position ends the plan. Texts are counted once, and what is
+known of them written to the shared folder; where columns are carried, texts are counted twice instead, for the totals and for
+the rows, which takes less than to write them.
 
 Defined results: a null source is a source of its own, of default weight. A null or empty text has no tokens and
-is left out, as is a source whose weight is nowhere above 0. Ties of the hash go by id. Repeated rows are read one after another.
+is left out, as is a source whose weight is nowhere above 0. Texts count whole whatever their length. Ties of the hash go by id. Repeated
+rows are read one after another. An empty table has no positions. A carried column that is named like one of the result's comes
+out under that name with underscores before it.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, materialize
 
 #: source: ((time, weight), ...), times ascending from 0 to 1; sources without a schedule weigh DEFAULT throughout.
 SCHEDULES = {
@@ -30,7 +34,7 @@ SCHEDULES = {
     "src2": ((0.0, 1.0), (1.0, 2.0)),
     "src3": ((0.0, 0.0), (0.6, 0.5), (1.0, 2.0)),
 }
-DEFAULT, MAX_EPOCHS, SEED = 1.0, 4, "mix-1"
+DEFAULT, SEED = 1.0, "mix-1"
 
 
 def count_words(text: Column) -> Column:
@@ -81,14 +85,20 @@ def mix(docs: DataFrame, schedules=SCHEDULES, default: float = DEFAULT, budget:
     """``(doc_id, source, epoch, n_tokens, position)`` and the ``carry`` columns, range-sorted by position."""
     if max_epochs is not None and max_epochs < 1:
         raise ValueError("max_epochs is at least 1")
-    own = ("doc_id", "source", "epoch", "n_tokens", "position")
-    if clash := {c.lower() for c in carry} & set(own):
-        raise ValueError(f"carried columns clash with the result's: {sorted(clash)}")
-    rows = docs.select(col(id_col).alias("doc_id"), col(source_col).alias("source"), count_words(col(text_col)).alias("n_tokens"), F.struct(*[col(c) for c in carry]).alias("carried") if carry else F.lit(None).cast("int").alias("carried")).where("n_tokens > 0")
+    given, out_names = [f"c{i}" for i in range(len(carry))], ["doc_id", "source", "epoch", "n_tokens", "position"]
+    for c in carry:
+        while c.lower() in {n.lower() for n in out_names}:
+            c = f"_{c}"
+        out_names.append(c)
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    rows = docs.select(col(id_col).alias("doc_id"), col(source_col).alias("source"), count_words(col(text_col)).alias("n"), *[col(c).alias(g) for c, g in zip(carry, given)])
+    # the generator keeps the filter from counting each text once more
+    rows = rows.select("doc_id", "source", F.explode_outer(F.array("n")).alias("n_tokens"), *given).where("n_tokens > 0")
     # nulls keyed apart: on a null-safe join the window below would not find its partitioning again
     rows = rows.withColumn("mix", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("order_key", key).withColumn("bucket", F.substring("order_key", 1, 3))
-    totals = rows.groupBy("mix", "bucket").agg(F.first("source").alias("source"), F.sum("n_tokens").alias("in_bucket"))
+    if not carry:
+        rows = materialize(rows, "counted")
+    totals = materialize(rows.groupBy("mix", "bucket").agg(F.first("source").alias("source"), F.sum("n_tokens").alias("in_bucket")), "totals")
     before = F.sum("in_bucket").over(W.partitionBy("mix").orderBy("bucket")) - F.col("in_bucket")
     totals = totals.select("mix", "bucket", "source", before.alias("before"), F.sum("in_bucket").over(W.partitionBy("mix")).alias("supply"))
     supplies = totals.groupBy("mix").agg(F.first("source").alias("source"), F.first("supply").alias("supply"))
@@ -113,11 +123,11 @@ def mix(docs: DataFrame, schedules=SCHEDULES, default: float = DEFAULT, budget:
     part = F.element_at(F.filter("parts", lambda p: p["d1"] > F.col("x")), 1)
     r = r.withColumn("part", part)
     r = r.select("*", *[F.col(f"part.{c}").alias(c) for c in ("t0", "t1", "s0", "s1", "d0", "d1")]).withColumn("position", invert(F.col("x")))
-    out = r.select("doc_id", "source", "epoch", "n_tokens", "position", *[F.col("carried").getField(c).alias(c) for c in carry])
+    out = r.select("doc_id", "source", "epoch", "n_tokens", "position", *[F.col(g).alias(n) for g, n in zip(given, out_names[5:])])
     return out.orderBy("position", "doc_id", "epoch")
 
 
-def oracle(schedules=SCHEDULES, default: float = DEFAULT, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> str:
+def oracle(schedules=SCHEDULES, default: float = DEFAULT, seed: str = SEED) -> str:
     times = _knots(schedules)
     values = ", ".join(f"('{n}', {i}, {_weight(p, t)!r})" for n, p in schedules.items() for i, t in enumerate(times))
     knots = ", ".join(f"({i}, {t!r}::DOUBLE)" for i, t in enumerate(times))
@@ -130,7 +140,7 @@ def oracle(schedules=SCHEDULES, default: float = DEFAULT, max_epochs: int = MAX_
     led AS (SELECT source, i, t AS t0, lead(t) OVER o AS t1, s AS s0, lead(s) OVER o AS s1 FROM shares WINDOW o AS (PARTITION BY source ORDER BY i)),
     seg AS (SELECT *, (t1 - t0) * (s0 + s1) / 2 AS area, sum((t1 - t0) * (s0 + s1) / 2) OVER (PARTITION BY source ORDER BY i ROWS UNBOUNDED PRECEDING) AS d1 FROM led WHERE t1 IS NOT NULL),
     demand AS (SELECT source, max(d1) AS demand FROM seg GROUP BY source),
-    each AS (SELECT p.doc_id, p.source, e.epoch, p.n_tokens, (p.start + e.epoch * p.supply)::DOUBLE / p.budget AS x, d.demand FROM placed p JOIN demand d ON d.source IS NOT DISTINCT FROM p.source CROSS JOIN (SELECT unnest(range({max_epochs})) AS epoch) e),
+    each AS (SELECT p.doc_id, p.source, e.epoch, p.n_tokens, (p.start + e.epoch * p.supply)::DOUBLE / p.budget AS x, d.demand FROM placed p JOIN demand d ON d.source IS NOT DISTINCT FROM p.source CROSS JOIN LATERAL (SELECT unnest(range(ceil(d.demand * p.budget / p.supply)::BIGINT)) AS epoch) e),
     hit AS (SELECT e.*, s.t0, s.t1, s.s0, s.s1, e.x - (s.d1 - s.area) AS rest FROM each e JOIN seg s ON s.source IS NOT DISTINCT FROM e.source AND e.x < s.d1 AND e.x >= s.d1 - s.area WHERE e.x < e.demand)
     SELECT doc_id, source, epoch::INTEGER AS epoch, n_tokens, round(t0 + least(t1 - t0, CASE WHEN s0 + sqrt(greatest(s0 * s0 + 2 * (s1 - s0) / (t1 - t0) * greatest(rest, 0), 0)) > 0
       THEN 2 * greatest(rest, 0) / (s0 + sqrt(greatest(s0 * s0 + 2 * (s1 - s0) / (t1 - t0) * greatest(rest, 0), 0))) ELSE 0 END), 6) AS position FROM hit
