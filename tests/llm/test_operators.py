@@ -197,6 +197,34 @@ def test_licenses_wrapped(spark):
     assert not any(d == 7 for d, *_ in got) and not {(0, 1, "mit"), (6, 0, "apache-2.0")} & got
 
 
+def brute_runs(lines, words, o, spread):
+    """Each end from left to right, and from it back word by word to the shortest stretch that holds enough."""
+    tokens = [(w, i) for i, line in enumerate(lines) for w in line]
+    alone = {i for i, line in enumerate(lines) if len(words & set(line)) >= o}
+    out, low = [], 0
+    for e, (w, i) in enumerate(tokens):
+        if w in words and i in alone:
+            low = e + 1
+        if w not in words or i in alone:
+            continue
+        for b in range(e, max(low, e - spread * len(words) + 1) - 1, -1):
+            if len(words & {x for x, _ in tokens[b : e + 1]}) >= o:
+                first = tokens[b][1]
+                out.append((first, len(words & {x for line in lines[first : i + 1] for x in line})))
+                low = e + 1
+                break
+    return out
+
+
+@given(st.lists(st.lists(st.sampled_from("abcdefgh"), max_size=6), max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_runs_of_lines(lines):
+    words, o = set("abcde"), 4
+    known = [[w if w in words else None for w in line] for line in lines]
+    got = licenses.wrapped(known, [(words, o)], {w: [0] for w in words})
+    assert [(a, n) for a, _, n in got] == brute_runs(lines, words, o, licenses.SPREAD)
+
+
 def near_copies(n, r, size=120):
     texts = []
     for _ in range(n):

@@ -1,20 +1,24 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
 A block is a line or, where a notice is wrapped, a run of adjacent lines. Block and template are sets of lower-cased
-words; a pair qualifies if the block holds at least ``threshold`` of the template's words. Words are ordered by their frequency over the blocks of the whole corpus,
-rarest first. A template's prefix is its |T| - o + 1 rarest words, o the overlap it needs: a block without any of them
-cannot qualify (prefix filter). A block has to have o words at all (length filter), and from the first common
-word on both sides have to have enough words left (positional filter). The rest is verified by intersection.
+words; a pair qualifies if the block holds at least ``threshold`` of the template's words. Texts are cut into words once; the words
+that any template has are written to the shared folder, all others as nulls. Words are ordered by their frequency over the lines
+of the corpus, rarest first. A template's prefix is its |T| - o + 1 rarest words, o the overlap it needs: a block without any of them
+cannot qualify (prefix filter). The join is by equal words: a block's words meet an index from prefix words to templates. A block has to
+have o words of templates at all (length filter), and from the first common word on both sides have to have enough words left
+(positional filter). What is left is verified by intersection, once a pair, at the rarest common word.
 
-Only template words take part, so a row is a short array, all of it native expressions. The frequency count
-shuffles one row a template word; the join is of literals, and nothing else moves.
+The index is made of the templates, a configuration; it is broadcast up to ``MOST_INDEXED`` rows and shuffled beyond. The frequency count
+shuffles one row a template word; nothing else moves.
 
-A run qualifies for a template if none of its lines does so alone and some stretch of its text that crosses a line end holds
+A run qualifies for a template if none of its lines does so alone and some stretch of its words that crosses a line end holds
 enough of the template's words among at most ``SPREAD`` times as many words as the template has: words that are
 scattered over a page are no notice. Of overlapping runs the one that ends first counts, of these the shortest. Only
-documents that hold enough words of a template anywhere are searched for runs, in Python; all others are told apart by native expressions.
+documents that hold a prefix word are searched for runs, in Python, and for those templates only that they hold enough words of.
 
-Defined results: null or empty texts have no blocks. Repeated rows give repeated results. Null ids pass through.
+Defined results: null or empty texts have no blocks; an empty table or no templates give no rows. Repeated rows give repeated results.
+Null ids pass through. Texts count whole whatever their length. A block that several templates reach is reported for each; ties in
+frequency go by the word.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, list_of
+from .common import col, list_of, materialize
 
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -47,7 +51,7 @@ TEMPLATES = {
     "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
-THRESHOLD, SPREAD = 0.8, 2
+THRESHOLD, SPREAD, MOST_INDEXED = 0.8, 2, 1_000_000
 _WORD = r"[\p{L}\p{N}]+"
 
 
@@ -59,36 +63,36 @@ def need(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
-def _array(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+def lexed(docs: DataFrame, vocabulary: list[str], least: int, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, lines)`` of the documents with at least ``least`` words of the vocabulary: of each line its words, null where they aren't of it."""
+    known = lambda w: F.when(w.isin(*vocabulary), w)
+    lines = F.transform(F.split(F.lower(col(text_col)), "\n"), lambda line: F.transform(F.regexp_extract_all(line, F.lit(_WORD), F.lit(0)), known))
+    # the generator keeps the filter from cutting each text once more
+    some = docs.select(col(id_col).alias("doc_id"), F.explode(F.array(F.struct(lines.alias("lines")))).alias("d"))
+    some = some.select("doc_id", "d.lines").where(F.size(F.array_distinct(F.array_compact(F.flatten("lines")))) >= least)
+    return materialize(some, "lexed")
 
 
-def blocks(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, block, n_words, words)``: of each line its number from 0, its distinct words' number and those of the vocabulary."""
-    text = F.lower(col(text_col))
-    # a line without any template word can't qualify; most texts have none left after this test on their lines
-    lines = docs.select(col(id_col).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("block", "line"))
-    words = F.array_distinct(F.regexp_extract_all("line", F.lit(_WORD), F.lit(0)))
-    cut = lines.select("doc_id", "block", words.alias("all_words"))
-    return cut.select("doc_id", "block", F.size("all_words").alias("n_words"), F.array_intersect("all_words", _array(vocabulary)).alias("words"))
+def blocks(texts: DataFrame, least: int) -> DataFrame:
+    """``(doc_id, block, words)``: each line that has at least ``least`` distinct words of the vocabulary."""
+    lines = texts.select("doc_id", F.posexplode("lines").alias("block", "line"))
+    return lines.select("doc_id", "block", F.explode_outer(F.array(F.array_distinct(F.array_compact("line")))).alias("words")).where(F.size("words") >= least)
 
 
-def frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, int]:
-    """Number of lines of the corpus that hold each template word; as many numbers as there are template words."""
-    some = blocks(docs, vocabulary, text_col, text_col)
-    rows = some.select(*[F.sum(F.array_contains("words", w).cast("long")).alias(f"w{i}") for i, w in enumerate(vocabulary)]).first()
-    return {w: int(rows[i] or 0) for i, w in enumerate(vocabulary)}
+def frequencies(texts: DataFrame) -> dict[str, int]:
+    """Number of lines that hold each template word; as many numbers as there are template words."""
+    rows = texts.select(F.explode("lines").alias("line")).select(F.explode(F.array_distinct(F.array_compact("line"))).alias("w"))
+    return {r.w: r.n for r in rows.groupBy("w").agg(F.count("*").alias("n")).collect()}
 
 
-def wrapped(text: str, sets: list[tuple[set[str], int]], spread: int = SPREAD) -> list[tuple[int, int, int]]:
-    """``(first line, template's index, overlap)`` of the runs of two or more lines of a lower-cased text that qualify for ``(words, need)``."""
-    lines = [re.findall(r"[^\W_]+", line) for line in text.split("\n")]
-    tokens = [(w, i) for i, line in enumerate(lines) for w in line]
+def wrapped(lines: list[list[str | None]], sets: list[tuple[set[str], int]], having: dict[str, list[int]], spread: int = SPREAD) -> list[tuple[int, int, int]]:
+    """``(first line, template's index, overlap)`` of the runs of two or more lines that qualify for ``(words, need)``; ``having``: from words to templates."""
+    tokens = [(at, w, i) for at, (w, i) in enumerate((w, i) for i, line in enumerate(lines) for w in line) if w is not None]
+    counts = Counter(k for w in {w for _, w, _ in tokens} for k in having[w])
     out = []
-    for k, (words, o) in enumerate(sets):
-        mine = [(at, w, i) for at, (w, i) in enumerate(tokens) if w in words]
-        if len({w for _, w, _ in mine}) < o:
-            continue
+    for k in sorted(k for k, n in counts.items() if n >= sets[k][1]):
+        words, o = sets[k]
+        mine = [x for x in tokens if x[1] in words]
         # no run goes over a line that qualifies by itself
         alone = {i for i in {i for _, _, i in mine} if len(words.intersection(lines[i])) >= o}
         stretch: deque[tuple[int, str, int]] = deque()
@@ -101,7 +105,10 @@ def wrapped(text: str, sets: list[tuple[set[str], int]], spread: int = SPREAD) -
             stretch.append((at, w, i))
             held[w] += 1
             while stretch[0][0] <= at - spread * len(words) or held[stretch[0][1]] > 1:
-                held -= Counter([stretch.popleft()[1]])
+                gone = stretch.popleft()[1]
+                held[gone] -= 1
+                if not held[gone]:
+                    del held[gone]
             if len(held) >= o:
                 start = stretch[0][2]
                 out.append((start, k, len(words.intersection(w for line in lines[start : i + 1] for w in line))))
@@ -110,34 +117,23 @@ def wrapped(text: str, sets: list[tuple[set[str], int]], spread: int = SPREAD) -
     return out
 
 
-def wrapped_rows(docs: DataFrame, sets: dict[str, list[str]], threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``scan_licenses`` for runs of two or more lines."""
-    names = list(sets)
+def wrapped_rows(texts: DataFrame, sets: dict[str, list[str]], prefix: list[str], threshold: float) -> DataFrame:
+    """``(doc_id, block, k, overlap)`` for runs of two or more lines, k the template's place in ``sets``."""
     given = [(set(s), need(len(s), threshold)) for s in sets.values()]
+    having: dict[str, list[int]] = {}
+    for k, (words, _) in enumerate(given):
+        for w in words:
+            having.setdefault(w, []).append(k)
 
-    @F.arrow_udf("array<struct<block: int, template: int, overlap: int>>")
+    @F.arrow_udf("array<struct<block: int, k: int, overlap: int>>")
     def runs(v: pa.Array) -> pa.Array:
-        rows = [wrapped(t or "", given) for t in v.to_pylist()]
+        rows = [wrapped(lines, given, having) for lines in v.to_pylist()]
         flat = [r for x in rows for r in x]
-        struct = pa.StructArray.from_arrays([pa.array([r[k] for r in flat], pa.int32()) for k in range(3)], ["block", "template", "overlap"])
+        struct = pa.StructArray.from_arrays([pa.array([r[k] for r in flat], pa.int32()) for k in range(3)], ["block", "k", "overlap"])
         return list_of(np.fromiter(map(len, rows), np.int64, len(rows)), struct)
 
-    # the generator keeps the filters below from lowering the text once a word
-    some = docs.where(F.contains(col(text_col), F.lit("\n"))).select(col(id_col).alias("doc_id"), F.explode_outer(F.array(F.lower(col(text_col)))).alias("text"))
-    # every template word by itself is sought as a string: that finds more than words, never less
-    holds = lambda w: F.contains("text", F.lit(w)).cast("int")
-    possible = F.lit(False)
-    for s, o in given:
-        # longest words first: at least one of any size - o + 1 words has to be there
-        rare = sorted(s, key=lambda w: (-len(w), w))
-        first = F.lit(False)
-        for w in rare[: len(s) - o + 1]:
-            first = first | F.contains("text", F.lit(w))
-        possible = possible | (first & (sum((holds(w) for w in rare[1:]), holds(rare[0])) >= o))
-    found = some.where(possible).select("doc_id", F.explode(runs.asNondeterministic()(F.col("text"))).alias("h"))
-    label = F.array(*[F.lit(n) for n in names])[F.col("h.template")]
-    size = F.array(*[F.lit(float(len(sets[n]))) for n in names])[F.col("h.template")]
-    return found.select("doc_id", "h.block", label.alias("template"), "h.overlap", (F.col("h.overlap") / size).alias("containment"))
+    some = texts.where((F.size("lines") > 1) & F.exists(F.flatten("lines"), lambda w: w.isin(*prefix)))
+    return some.select("doc_id", F.explode(runs.asNondeterministic()(F.col("lines"))).alias("h")).select("doc_id", "h.*")
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
@@ -145,41 +141,36 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
 
     ``block`` is the number of its first line. ``runs``: whether runs of adjacent lines are blocks too.
     """
+    spark = docs.sparkSession
     sets = {name: template_words(t) for name, t in templates.items() if template_words(t)}
     vocabulary = sorted({w for s in sets.values() for w in s})
     if not vocabulary:
         return docs.select(col(id_col).alias("doc_id"), F.lit(0).alias("block"), F.lit("").alias("template"), F.lit(0).alias("overlap"), F.lit(0.0).alias("containment")).where("false")
-    freq = frequencies(docs, vocabulary, text_col)
-    order = sorted(vocabulary, key=lambda w: (freq[w], w))
-    rank = {w: i for i, w in enumerate(order)}
+    least = min(need(len(s), threshold) for s in sets.values())
+    texts = lexed(docs, vocabulary, least, id_col, text_col)
+    freq = frequencies(texts)
+    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (freq.get(w, 0), w)))}
     ordered = {n: sorted(s, key=rank.get) for n, s in sets.items()}
-    rows = blocks(docs, order, id_col, text_col)
     prefixes = {n: s[: len(s) - need(len(s), threshold) + 1] for n, s in ordered.items()}
     any_prefix = sorted({w for p in prefixes.values() for w in p})
-    least = min(need(len(s), threshold) for s in sets.values())
-    rows = rows.where((F.size("words") >= least) & F.arrays_overlap("words", _array(any_prefix)))
+    index = [(w, k, at, len(ordered[n]), need(len(ordered[n]), threshold), [rank[x] for x in ordered[n]]) for k, (n, p) in enumerate(prefixes.items()) for at, w in enumerate(p)]
+    table = spark.createDataFrame(index, "prefix_word string, k int, at int, size int, need int, own array<int>")
+    table = F.broadcast(table) if len(index) <= MOST_INDEXED else table
+    rows = blocks(texts, least).where(F.exists("words", lambda w: w.isin(*any_prefix)))
     # the block's template words in the global order
     ranks = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
     rows = rows.withColumn("ranked", F.array_sort(F.transform("words", lambda w: ranks[w])))
-    hits = []
-    for name, s in ordered.items():
-        o, size = need(len(s), threshold), len(s)
-        mine = F.array(*[F.lit(rank[w]) for w in s])
-        common = F.array_intersect("ranked", mine)
-        first = F.element_at(common, 1)  # the rarest common word
-        left_in_template = F.lit(size + 1) - F.array_position(mine, first)
-        left_in_block = F.size("ranked") + 1 - F.array_position("ranked", first)
-        possible = (
-            (F.col("n_words") >= o)
-            & F.arrays_overlap("words", _array(prefixes[name]))
-            & (left_in_template >= o)
-            & (left_in_block >= o)
-        )
-        overlap = F.when(possible, F.size(common)).otherwise(0)
-        hits.append(F.struct(F.lit(name).alias("template"), overlap.cast("int").alias("overlap"), F.lit(o).alias("need"), (overlap / F.lit(float(size))).alias("containment")))
-    found = rows.select("doc_id", "block", F.explode(F.filter(F.array(*hits), lambda h: h["overlap"] >= h["need"])).alias("h"))
-    found = found.select("doc_id", "block", "h.template", "h.overlap", "h.containment")
-    return found.unionByName(wrapped_rows(docs, sets, threshold, id_col, text_col)) if runs else found
+    pairs = rows.select("doc_id", "block", "ranked", F.explode(F.filter("words", lambda w: w.isin(*any_prefix))).alias("word")).join(table, F.col("word") == F.col("prefix_word"))
+    mine = F.element_at("own", F.col("at") + 1)
+    common = F.array_intersect("ranked", "own")
+    possible = (F.size("ranked") >= F.col("need")) & (F.col("size") - F.col("at") >= F.col("need")) & (F.size("ranked") + 1 - F.array_position("ranked", mine) >= F.col("need"))
+    pairs = pairs.where(possible).select("doc_id", "block", "k", "need", mine.alias("mine"), F.explode_outer(F.array(common)).alias("common"))
+    found = pairs.where((F.size("common") >= F.col("need")) & (F.element_at("common", 1) == F.col("mine"))).select("doc_id", "block", "k", F.size("common").alias("overlap"))
+    if runs:
+        found = found.unionByName(wrapped_rows(texts, sets, any_prefix, threshold))
+    names = spark.createDataFrame([(k, n, float(len(s))) for k, (n, s) in enumerate(sets.items())], "k int, template string, words double")
+    names = F.broadcast(names) if len(sets) <= MOST_INDEXED else names
+    return found.join(names, "k").select("doc_id", "block", "template", "overlap", (F.col("overlap") / F.col("words")).alias("containment"))
 
 
 def oracle(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
