@@ -575,6 +575,74 @@ def test_pii(spark):
     assert {d for d, _ in got} <= {d for d, _ in planted} | {200}
 
 
+def test_pii_candidates():
+    """What any labeler votes for is proposed, joined numbers by every typed reading; nothing else is."""
+    cases = {
+        "Name: Priya Raghunathan lives": [("Priya Raghunathan", "name")], "Dear Zoë Müller-Lüdenscheidt, hi": [("Zoë Müller-Lüdenscheidt", "name")], "call 5551234567 now": [("5551234567", "phone")],
+        "ssn 123456789 ok": [("123456789", "ssn")], "123-45-6789 987-65-4321": [("123-45-6789", "ssn"), ("987-65-4321", "ssn")], "123-45-6789 555-123-4567": [("123-45-6789", "ssn"), ("555-123-4567", "phone")],
+        "2024-01-15 555-123-4567": [("555-123-4567", "phone")], "4539 1488 0343 6467 123-45-6789": [("4539 1488 0343 6467", "card"), ("123-45-6789", "ssn")], "Mr. Łukasz Żak": [("Łukasz Żak", "name")],
+        "70.23.22.57": [("70.23.22.57", "ip")], "Die Kinder gehen nach Hause": [], "order 12345678": [], "sum 123456 of 99": [], "It was in March 2019-10-11": [],
+    }
+    for text, want in cases.items():
+        got = {(text[a:b], pii.KINDS[k]) for a, b, k, *_ in pii.candidates(text)}
+        assert set(want) <= got, text
+        assert want or not got, text
+    assert pii.candidates("1234567 " * 50_000 + "a@b.com ")[-1][2] == 0
+
+
+@given(st.lists(st.tuples(st.sampled_from([0.5, 0.7, 0.9]), st.integers(0, 30), st.integers(1, 9), st.integers(0, 2)), max_size=14))
+@settings(max_examples=150, deadline=None)
+def test_pii_overlaps(rows):
+    rows = [(p, a, a + n, k) for p, a, n, k in rows]
+    taken = []
+    for x in sorted(rows, key=lambda x: (-x[0], x[1] - x[2], x[3], x[1])):
+        if all(x[2] <= y[1] or x[1] >= y[2] for y in taken):
+            taken.append(x)
+    assert pii.without_overlaps(rows) == sorted(taken, key=lambda x: x[1])
+
+
+def brute_pii(texts, threshold=pii.THRESHOLD):
+    """Votes row by row, a plain expectation-maximisation over the rows, and a logistic regression by small gradient steps."""
+    rows = [(d, *c) for d, t in enumerate(texts) for c in pii.candidates(t)]
+    n_l = len(pii.LABELERS)
+    rel = {(k, j): 0.8 for k in range(len(pii.KINDS)) for j in range(n_l)}
+    rate = dict.fromkeys(range(len(pii.KINDS)), 0.5)
+    q = [0.5] * len(rows)
+    for _ in range(pii.ROUNDS):
+        for i, (_, _, _, k, votes, _) in enumerate(rows):
+            odds = np.log(rate[k] / (1 - rate[k])) + sum(v * np.log(rel[k, j] / (1 - rel[k, j])) for j, v in enumerate(votes))
+            q[i] = 1 / (1 + np.exp(-odds))
+        for k in {r[3] for r in rows}:
+            mine = [(p, r[4]) for p, r in zip(q, rows) if r[3] == k]
+            for j in range(n_l):
+                voted = sum(v[j] != 0 for _, v in mine)
+                right = sum(p if v[j] > 0 else 1 - p for p, v in mine if v[j])
+                scale = 1 + voted / 100
+                rel[k, j] = min(0.99, max(0.05, (right + 8 * scale) / (voted + 10 * scale)))
+            rate[k] = min(0.95, max(0.05, (sum(p for p, _ in mine) + 1) / (len(mine) + 2)))
+    x = pii.design(np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), np.array([r[5] for r in rows]))
+    distinct, first, number = np.unique(np.concatenate([x, np.array(q)[:, None]], 1).round(12), axis=0, return_index=True, return_counts=True)
+    w, n = np.zeros(x.shape[1]), number / number.mean()
+    for _ in range(40_000):
+        p = 1 / (1 + np.exp(-np.clip(x[first] @ w, -30, 30)))
+        w -= 0.02 / n.mean() / 8 * (x[first].T @ (n * (p - np.array(q)[first])) + 1e-2 * w)
+    return {(d, a, b, pii.KINDS[k]): 1 / (1 + np.exp(-x[i] @ w)) for i, (d, a, b, k, _, _) in enumerate(rows)}
+
+
+def test_pii_brute_force(spark):
+    r = random.Random(3)
+    kinds = ["ana.smith@mail.example.com", "a@b", "+1 (286) 555-5136", "70.23.22.57", "version 1.2.3.4", "4539 1488 0343 6467", "1111 2222 3333 4444", "123-45-6789", "000-45-6789", "Name: Priya Rao", "Anna Bell", "call 5551234567"]
+    texts = [" ".join([prose(3, r), r.choice(kinds), prose(2, r), r.choice(kinds)]) for _ in range(120)]
+    want = brute_pii(texts)
+    got = {(x.doc_id, x.start, x.end, x.kind): x.probability for x in pii.find_pii(frame(spark, texts)).collect()}
+    assert got and all(abs(want[k] - p) < 0.03 for k, p in got.items())
+    sure = {}
+    for (d, a, b, k), p in want.items():
+        if p >= pii.THRESHOLD + 0.03:
+            sure.setdefault(d, []).append((p, a, b, pii.KINDS.index(k)))
+    assert all(any(e[0] == d and e[1] < b and a < e[2] for e in got) for d, spans in sure.items() for _, a, b, _ in spans)
+
+
 def test_em_recovers_reliabilities():
     g = np.random.default_rng(0)
     truth = g.random(4000) < 0.6
