@@ -149,6 +149,76 @@ def test_secrets_whole():
     assert secrets.secrets_of(("a" + " " * 50) * 5_000 + "=") == []
 
 
+def test_secrets_below():
+    """Element text, and values on the lines below their key."""
+    key = "x9!Kd82jsPq"
+    for text in (f"<password>{key}</password>", f"<db><Secret kind='a'>\n {key}\n</Secret></db>", f"<token><![CDATA[{key}]]></token>", f"a: 1\npassword:\n  {key}\nb: 2", f"  db_password: |\n    {key}\n  user: x", f"secrets:\n  - name: a\n    password:\n      {key}", f"tokens_secret:\n  - {key}\n"):
+        assert [text[a:b] for a, b, *_ in secrets.secrets_of(text)] == [key], text
+    for text in (f"password:\n{key}", f"password:\n  color: {key}", f"<title>{key}</title>", "<password></password>", "password:\n\n"):
+        assert secrets.secrets_of(text) == [], text
+    text = f"private_key: |\n  -----BEGIN-----\n  {key}{key}\n  Zz{key}\nname: x"
+    assert [text[a:b] for a, b, *_ in secrets.secrets_of(text)] == ["-----BEGIN-----", key + key, "Zz" + key]
+
+
+def random_program(r):
+    """Lines of assignments in many syntaxes, and the literals that reach a sensitive name."""
+    lines, want, known = [], [], {}
+    literal = lambda n=18: "".join(r.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKMNPQRSTUVWXYZ23456789") for _ in range(n - 2)) + "7q"
+    gap = lambda: " " * r.choice([0, 1, 1, 2, 7, 20])
+    for k in range(r.randint(1, 14)):
+        sensitive = r.random() < 0.5
+        name = r.choice(["db_password", "API_KEY", "auth.token", "clientSecret", "aws-secret-key", "passphrase"] if sensitive else ["title", "color_name", "public_key", "user", "maxTokens"])
+        word = name.replace(".", "_").replace("-", "_")
+        q = r.choice("\"'")
+        kind = r.randrange(9)
+        a, b = literal(), literal()
+        if kind == 0:
+            lines.append(f"{word}{gap()}={gap()}{q}{a}{q}")
+            own = [a]
+        elif kind == 1:
+            lines.append(f"{name}:{gap() or ' '}{a}")
+            own = [a]
+        elif kind == 2:
+            lines.append(f'{{"{word}":{gap()}"{a}", "size": 3}}')
+            own = [a]
+        elif kind == 3:
+            lines.append(f"const {word} = {q}{a}{q}{gap()}+{gap()}{q}{b}{q};")
+            own = [a, b]
+        elif kind == 4:
+            lines += [f"v{k} = {q}{a}{q}", f"{word} = v{k}"]
+            own = [a]
+        elif kind == 5:
+            lines += [f"part{k}={q}{a}{q}", f'{word}="${{part{k}}}"']
+            own = [a]
+        elif kind == 6:
+            lines += [f"x{k} = {q}{a}{q}", f"y{k} = x{k} + {q}{b}{q}", f"{word} = y{k}"]
+            own = [a, b]
+        elif kind == 7:
+            lines.append(f"<{word}>{a}</{word}>")
+            own = [a]
+        else:
+            lines.append(f"{word} = {q}{r.choice(['changeme', 'example', '', 'xxxx', 'none'])}{q}")
+            own = []
+        if sensitive:
+            want += own
+        if r.random() < 0.5:
+            lines.append(r.choice(["", "some words of text", "# note", "}"]))
+    return "\n".join(lines), sorted(want)
+
+
+def test_secrets_of_programs(spark):
+    """Every literal that reaches a sensitive name, and no other, in programs made up with what is in them known."""
+    r = random.Random(21)
+    made = [random_program(r) for _ in range(400)]
+    for text, want in made:
+        assert sorted(text[a:b] for a, b, *_ in secrets.secrets_of(text)) == want, text
+    docs = frame(spark, [t for t, _ in made[:60]])
+    got = collections.defaultdict(list)
+    for x in secrets.find_secrets(docs).collect():
+        got[x.doc_id].append(made[x.doc_id][0][x.start : x.end])
+    assert all(sorted(got[i]) == want for i, (_, want) in enumerate(made[:60]))
+
+
 def test_redact(spark):
     docs = frame(spark, ['one token = "f0ddae3b09ae356cbefecdd3" two secret: "9f0ddae3b09ae356cbefecdd4"', "plain", None])
     out = {r.doc_id: r for r in secrets.redact_secrets(docs).collect()}

@@ -2,14 +2,15 @@
 
 Source and configuration text is lexed into assignments ``name op value``: ``=``, ``:=``, ``=>``, ``:`` (JSON, YAML, INI,
 shell, Python, JavaScript, Go, Java, XML attributes), values quoted in any usual way, bare (configuration), or
-concatenated with ``+``, ``.`` or by adjacency. Names that stand in a value (``a``, ``$a``, ``${a}``) are replaced by what
+concatenated with ``+``, ``.`` or by adjacency; also ``<name>value</name>`` and YAML values that begin on the line after their key. Names that stand in a value (``a``, ``$a``, ``${a}``) are replaced by what
 they were last assigned in the document (constant propagation). Each name-literal pair is scored: how sensitive the target
 name is, times how much the literal looks like a secret (length, variety, entropy, not a placeholder or path or word).
 
 One pass over the texts; only documents with an assignment sign are lexed. No shuffle.
 
-Defined results: null and empty texts give nothing. Repeated rows give repeated results. A literal that reaches several
-sensitive names is reported once, under the most sensitive (of equals, the first) name.
+Defined results: null and empty texts give nothing, as does an empty table. Repeated rows give repeated results. Texts are lexed whole
+whatever their length. A literal that reaches several sensitive names is reported once, under the most sensitive (of equals, the first)
+name. Redacting keeps all rows and columns.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,10 @@ _JOIN = re.compile(r"\s*[+.]\s*|[ \t]+(?=[\"'])")
 _REF = re.compile(r"\$\{?(\w+)\}?|\{(\w+)\}")
 _IDENT = re.compile(_NAME)
 _KEY = re.compile(r"\s*+[:=]")
+_ELEMENT = re.compile(r"<(?P<name>" + _NAME + r")(?:\s[^<>]*)?>\s*+(?:<!\[CDATA\[\s*+)?(?P<value>[^<>]+?)\s*(?:\]\]>\s*)?</(?P=name)\s*>")
+#: A key whose value is what is indented below it.
+_BELOW = re.compile(r"^(?P<lead>[ \t]*(?:-[ \t]+)?)(?P<q>[\"']?)(?P<name>" + _NAME + r")(?P=q)[ \t]*:[ \t]*(?:[|>][+\-\d]*)?[ \t]*(?=\n[ \t]+[^\s#\"'{\[&*!])", re.M)
+_NESTED = re.compile(r"(?:-[ \t]+)?[\"']?" + _NAME + r"[\"']?[ \t]*:(?:\s|$)")
 
 
 def name_score(name: str) -> float:
@@ -165,14 +171,37 @@ def assignments(text: str):
             yield name, value, spans
 
 
+def block_values(text: str):
+    """``(name, value, parts)`` of elements and of keys whose value is indented below them."""
+    if "</" in text:
+        for m in _ELEMENT.finditer(text):
+            yield m.group("name"), m.group("value"), [m.span("value")]
+    if ":" in text and "\n" in text:
+        for m in _BELOW.finditer(text):
+            at, spans, deep = m.end() + 1, [], len(m.group("lead"))
+            while at <= len(text):
+                end = text.find("\n", at)
+                end = len(text) if end < 0 else end
+                body = text[at:end].strip()
+                begin = at + len(text[at:end]) - len(text[at:end].lstrip())
+                if not body or begin - at <= deep or _NESTED.match(body):
+                    break
+                if body.startswith("- "):
+                    begin, body = begin + 2, body[2:]
+                spans.append((begin, begin + len(body)))
+                at = end + 1
+            if spans:
+                yield m.group("name"), "".join(text[a:b] for a, b in spans), spans
+
+
 def secrets_of(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int, str, float]]:
     """``(start, end, name, score)`` of literals that make up values of sensitive names; disjoint, ascending."""
-    if not text or "=" not in text and ":" not in text:
+    if not text or "=" not in text and ":" not in text and "</" not in text:
         return []
     best: dict[tuple[int, int], tuple[float, str]] = {}
     seen: dict[int, float] = {}
     held = []  # keeps the lists alive, so that none has another's identity
-    for name, value, spans in assignments(text):
+    for name, value, spans in chain(assignments(text), block_values(text)):
         ns = name_score(name)
         if ns <= 0:
             continue
