@@ -105,9 +105,16 @@ def test_token_counts(spark):
         assert r.n_docs == lengths.count(r.n_tokens)
         assert r.docs_at_least == sum(x >= r.n_tokens for x in lengths) and r.tokens_at_most == sum(x for x in lengths if x <= r.n_tokens)
         assert r.truncated_tokens == sum(min(x, r.n_tokens) for x in lengths)
-    for r in token_counts.at_limits(df, [0, 3, 10**6]).collect():
-        assert (r.docs_that_fit, r.kept_tokens) == (sum(x <= r.context_limit for x in lengths), sum(min(x, r.context_limit) for x in lengths))
-    assert token_counts.quantiles(df, [0.5]).first().n_tokens == sorted(lengths)[(len(lengths) - 1) // 2]
+    rows = token_counts.at_limits(df, [0, 3, 4, 17, 10**6]).collect()
+    assert len(rows) == 5
+    for r in rows:
+        kept = sum(min(x, r.context_limit) for x in lengths)
+        assert (r.docs_that_fit, r.kept_tokens, r.lost_tokens) == (sum(x <= r.context_limit for x in lengths), kept, sum(lengths) - kept)
+    qs = [0.1, 1 / 3, 0.5, 0.9, 1.0]
+    want = {q: min(n for n in lengths if sum(x <= n for x in lengths) / len(lengths) >= q) for q in qs}
+    assert {r.q: r.n_tokens for r in token_counts.quantiles(df, qs).collect()} == want
+    none = token_counts.length_histogram(frame(spark, []))
+    assert [tuple(r) for r in token_counts.at_limits(none, [5]).collect()] == [(5, 0, 0, 0)] and token_counts.quantiles(none, [0.5]).count() == 0
 
 
 def test_token_parts(monkeypatch):

@@ -3,7 +3,9 @@
 Each rule names a measure and the bounds it has to keep to. Measures are native expressions over the whole text:
 counts by regular expression or ``translate``, and ratios of them. Compiling gives one column a rule and their conjunction.
 
-Defined results: measures of a null text are those of the empty text; ratios over nothing are 0. A bound of null is no bound.
+Defined results: measures of a null text are those of the empty text; ratios over nothing are 0. A bound of null is no bound; a measure that
+equals a bound keeps to it. Every row is measured by itself: repeated rows give repeated results, an empty table gives none. Texts are
+measured whole whatever their length. Extra columns stay, whatever their names.
 Short texts of no stop word at all are common, so the stop-word bound holds from 30 words on.
 """
 

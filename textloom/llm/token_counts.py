@@ -4,7 +4,8 @@ Whole texts are encoded by a public byte-level BPE vocabulary (a path, read on t
 executors need no file). Documents are aggregated by encoded length on the map side; the shuffle carries one row
 a distinct length, and the suffix sums run over those rows only, whose number is bounded by the longest text.
 
-Defined results: a null or empty text has 0 tokens and counts as a document. An empty table gives no rows.
+Defined results: a null or empty text has 0 tokens and counts as a document. An empty table gives no rows, and limits and quantiles of it
+nothing that fits. Repeated rows count as often as they occur. Texts are encoded whole whatever their length.
 """
 
 from __future__ import annotations
@@ -83,19 +84,22 @@ def length_histogram(docs: DataFrame, text_col: str = "text", vocabulary: str =
 
 
 def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """For any context limits: documents that fit, tokens kept and lost by truncation."""
-    spark = histogram.sparkSession
-    wanted = spark.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    fits = F.col("n_tokens") <= F.col("context_limit")
-    joined = wanted.join(histogram.select("n_tokens", "n_docs", "tokens"), F.lit(True), "left")
-    return joined.groupBy("context_limit").agg(
-        F.coalesce(F.sum(F.when(fits, F.col("n_docs"))), F.lit(0)).alias("docs_that_fit"),
-        F.coalesce(F.sum(F.col("n_docs") * F.least("n_tokens", "context_limit")), F.lit(0)).alias("kept_tokens"),
-        F.coalesce(F.sum(F.col("n_docs") * F.greatest(F.col("n_tokens") - F.col("context_limit"), F.lit(0))), F.lit(0)).alias("lost_tokens"),
-    )
+    """For any context limits: documents that fit, tokens kept and lost by truncation. Looked up in the running sums, in one ordered pass over limits and lengths."""
+    wanted = histogram.sparkSession.createDataFrame([(int(x),) for x in sorted(set(limits))], "context_limit long")
+    sums = histogram.select(F.col("n_tokens").alias("x"), F.lit(0).alias("asked"), "docs_at_most", "tokens_at_most")
+    none = F.lit(None).cast("long")
+    both = sums.unionByName(wanted.select(F.col("context_limit").alias("x"), F.lit(1).alias("asked"), none.alias("docs_at_most"), none.alias("tokens_at_most")))
+    up = W.orderBy("x", "asked").rowsBetween(W.unboundedPreceding, 0)
+    last = lambda c, w: F.coalesce(F.max(c).over(w), F.lit(0))
+    rows = both.select("x", "asked", last("docs_at_most", up).alias("docs"), last("tokens_at_most", up).alias("tokens"), last("docs_at_most", W.partitionBy()).alias("all_docs"), last("tokens_at_most", W.partitionBy()).alias("all_tokens"))
+    kept = F.col("tokens") + F.col("x") * (F.col("all_docs") - F.col("docs"))
+    return rows.where("asked = 1").select(F.col("x").alias("context_limit"), F.col("docs").alias("docs_that_fit"), kept.alias("kept_tokens"), (F.col("all_tokens") - kept).alias("lost_tokens"))
 
 
 def quantiles(histogram: DataFrame, qs: list[float]) -> DataFrame:
-    """The smallest length whose cumulative share of documents reaches each q."""
-    wanted = histogram.sparkSession.createDataFrame([(float(q),) for q in qs], "q double")
-    return wanted.join(histogram, F.col("cdf") >= F.col("q")).groupBy("q").agg(F.min("n_tokens").alias("n_tokens"))
+    """The smallest length whose cumulative share of documents reaches each q; looked up like ``at_limits``."""
+    wanted = histogram.sparkSession.createDataFrame([(float(q),) for q in sorted(set(qs))], "x double")
+    both = histogram.select(F.col("cdf").alias("x"), F.lit(1).alias("known"), "n_tokens").unionByName(wanted.select("x", F.lit(0).alias("known"), F.lit(None).cast("long").alias("n_tokens")))
+    down = W.orderBy("x", "known").rowsBetween(0, W.unboundedFollowing)
+    found = both.select(F.col("x").alias("q"), "known", F.min("n_tokens").over(down).alias("n_tokens"))
+    return found.where("known = 0 and n_tokens is not null").select("q", "n_tokens")
