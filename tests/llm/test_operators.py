@@ -526,6 +526,55 @@ def test_mixing_small_source(spark):
     assert [r.epoch for r in out] == list(range(len(out)))
 
 
+def test_quality_brute_force(spark):
+    """Indicators, ratios and scores word by word; the weights are those of the primal problem, solved by small steps."""
+    r = random.Random(5)
+    texts = [prose(r.randint(1, 12), r) + r.choice(["", " !!", " w1 w1", " a b a"]) for _ in range(40)] + ["", "x"]
+    y = [1.0 if i % 3 else -1.0 for i in range(len(texts))]
+    size = 1 << quality.BITS
+
+    def grams(t):
+        h = [int(x) for x in common.scan([t], symbols=True)[0]]
+        mask, full = size - 1, (1 << 64) - 1
+        mix = lambda x: int(common.mix64(np.array([x & full], np.uint64))[0])
+        out = {x & mask for x in h} | {mix(a * 3 + b) & mask for a, b in zip(h, h[1:])}
+        return out | ({1} if any(a == b for a, b in zip(h, h[1:])) else set()) | ({2} if any(a == b for a, b in zip(h, h[2:])) else set())
+
+    sets = [grams(t) for t in texts]
+    doc, feat = quality.indicators(texts)
+    assert [sorted(feat[doc == i].tolist()) for i in range(len(texts))] == [sorted(s) for s in sets]
+    up, down = (collections.Counter(f for s, v in zip(sets, y) if v == sign for f in s) for sign in (1.0, -1.0))
+    total = [size + sum(c.values()) for c in (up, down)]
+    ratio = lambda f: np.log((1 + up[f]) / total[0]) - np.log((1 + down[f]) / total[1])
+    rr, w, b = quality.fit_rows(doc, feat, np.array(y), size, passes=4000, tolerance=1e-8)
+    assert all(rr[f] == pytest.approx(ratio(f), abs=1e-9) for s in sets for f in s)
+    used = sorted(set().union(*sets))
+    x = np.zeros((len(texts), len(used) + 1))
+    for i, s in enumerate(sets):
+        norm = np.sqrt(sum(ratio(f) ** 2 for f in s)) or 1.0
+        for f in s:
+            x[i, used.index(f)] = ratio(f) / norm
+    x[:, -1] = 1.0
+    f = lambda v: v @ v / 2 + np.maximum(0, 1 - np.array(y) * (x @ v)).sum()
+    v, best = np.zeros(x.shape[1]), np.inf
+    for step in range(60_000):
+        on = np.array(y) * (x @ v) < 1
+        v -= (v - (np.array(y)[on, None] * x[on]).sum(0)) / (step + 10)
+        best = min(best, f(v))
+    mine = np.append(w[used], b)
+    assert f(mine) <= best + 1e-3 and not np.delete(w, used).any()
+    assert quality.QualityModel(rr, w, b).score(texts) == pytest.approx(x @ mine)
+
+
+def test_quality_labels(spark):
+    """Toxic rows are no good ones; ties and nulls don't train."""
+    good, bad = ["fine %d words" % i for i in range(30)], ["awful %d words" % i for i in range(30)]
+    docs = frame(spark, good + bad)
+    rows = [(i, 1, None if i % 2 else 0) for i in range(30)] + [(i, 1, 1) for i in range(30, 60)] + [(60, None, 0), (0, 1, 0)]
+    model = quality.fit(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
+    assert (model.score(good) > 0).all() and (model.score(bad) < 0).all()
+
+
 def test_quality_held_out(spark):
     r = random.Random(8)
     good = [prose(r.randint(5, 60), r) + "." for _ in range(300)]
@@ -773,6 +822,17 @@ def test_repeats_long(spark):
     assert [x[3] for x in got if x[0] < 2] == [50_000, 50_000]
 
 
+def test_among(spark):
+    """The filter loses no key and lets few others pass."""
+    g = np.random.default_rng(1)
+    keys = g.integers(-(2**63), 2**63, 3000)
+    inside = spark.createDataFrame([(int(x),) for x in keys], "k long")
+    may_be = recompress.among(inside, "k")
+    others = spark.createDataFrame([(int(x),) for x in g.integers(-(2**63), 2**63, 3000)], "k long")
+    assert inside.where(may_be("k")).count() == 3000 and others.where(may_be("k")).count() < 600
+    assert inside.where(recompress.among(inside.limit(0), "k")("k")).count() == 0
+
+
 def test_shared_rows_over_batches():
     import pyarrow as pa
 

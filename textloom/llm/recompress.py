@@ -32,6 +32,8 @@ from .common import batch, chunks, col, list_of, materialize, mix64, ranges, sca
 MIN_WORDS, ROUNDS, LONGEST = 50, 12, 4
 #: Limits, and rounds at each, of the high symbols.
 HIGH = ((100, 6), (400, 5))
+#: Of the filter on documents: bits a key, and most bits altogether (64 MB).
+FILTER_BITS, MOST_BITS = 8, 1 << 29
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [np.ones(1, np.uint64)]
 
@@ -136,8 +138,38 @@ def shared_rows(batches, mark: bool = False):
         last, last_doc, first_doc = h[-1], d[-1], firsts[n - 1]
 
 
+def among(keys: DataFrame, name: str):
+    """A function from a column of hashes to whether it may be among ``keys``: a Bloom filter of ``FILTER_BITS`` bits a key and two hashes.
+
+    The filter has at most ``MOST_BITS`` bits, whatever the number of keys, and is broadcast; beyond, it lets more pass but never loses a key.
+    """
+    n = keys.count()
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(12, int(n * FILTER_BITS).bit_length()))
+    place = lambda x: [(mix64(x.view(np.uint64) + np.uint64(k)) & np.uint64(bits - 1)).astype(np.int64) for k in (3, 5)]
+    schema = pa.schema([("word", pa.int32()), ("bits", pa.int64())])
+
+    def words(batches):
+        for b in batches:
+            at = np.concatenate(place(b.column(0).to_numpy()))
+            yield batch(schema, (at >> 6).astype(np.int32), np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64))
+
+    rows = keys.select(name).mapInArrow(words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    held = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def may_be(v: pa.Array) -> pa.Array:
+        out = np.ones(len(v), bool)
+        for at in place(v.to_numpy(zero_copy_only=False)):
+            out &= (held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return pa.array(out)
+
+    return may_be
+
+
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, rounds: int = ROUNDS, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text", high: tuple = HIGH) -> DataFrame:
-    """``(doc_id, start, end, n_words)``: longest spans, in characters from 0, end exclusive, whose every window of ``min_words`` words stands in another document too."""
+    """``(doc_id, start, end, n_words)``: longest spans, in characters from 0, end exclusive, of windows of ``min_words`` words that stand in another document too; windows that overlap or touch are one span."""
     if min_words < 10 * longest + 4:
         raise ValueError("min_words is at least ten times longest and 4, else repeats needn't share a symbol")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -179,8 +211,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, rounds: int = RO
     marks = shared.groupBy("doc").agg(F.collect_list("at").alias("at"), F.collect_list("size").alias("size"), F.collect_list("first").alias("first"))
     marks = marks.select(F.col("doc").alias("mark_doc"), _stretches(2 * longest, least, "at", "size", "first").alias("runs"))
     marks = materialize(marks.where("size(runs) > 0"), "marks")
-    # rows that agree in all are one document
-    found = base.join(marks, base.doc == marks.mark_doc).select("doc", "text", "runs")
+    # rows that agree in all are one document; texts without marks aren't shuffled, but for the filter's few mistakes
+    some = base.where(among(marks, "mark_doc")(F.col("doc")))
+    found = some.join(marks, some.doc == marks.mark_doc).select("doc", "text", "runs")
     windows = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("to", pa.int32()), ("size", pa.int32())])
     half = min_words // 2
 
