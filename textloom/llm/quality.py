@@ -1,13 +1,14 @@
 """Quality classifier: Naive Bayes support vectors over hashed word and symbol 1- and 2-grams.
 
-Fitting takes at most ``sample`` labelled rows (a documented bound, chosen by a keyed hash of the id): their n-gram
+A document counts as good if its quality is labelled good and it isn't labelled toxic. Fitting takes at most ``sample`` labelled rows (a documented bound, chosen by a keyed hash of the id): their n-gram
 indicators are scaled by class log-count ratios and a linear hinge-loss model is fitted by dual coordinate descent,
 in one task of an executor. Only the weights, 2^18 numbers whatever the corpus, come to the driver and are broadcast; scoring is
 one pass over the texts without a shuffle.
 
 Defined results: rows with a null label do not train; an id labelled more than once counts by its mean, not at all where
-that is a tie; with fewer than one row of either class every score is 0. A null or empty text scores the model's bias. A document is
-kept if its score is at least the threshold.
+that is a tie; a null toxicity is none; with fewer than one row of either class every score is 0. A null or empty text scores the model's bias. A document is
+kept if its score is at least the threshold. Texts are scored whole whatever their length; repeated rows score alike; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -107,9 +108,11 @@ class QualityModel:
         return quality.asNondeterministic()(text)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, bits: int = BITS, **how) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", reject_col: str | None = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, bits: int = BITS, **how) -> QualityModel:
     size = 1 << bits
-    mean = labels.select(col(id_col).alias("label_id"), col(label_col).cast("double").alias("y")).where("label_id is not null and y is not null").groupBy("label_id").agg(F.avg("y").alias("y")).where("y <> 0.5")
+    bad = col(reject_col).cast("double") if reject_col in labels.columns else F.lit(None).cast("double")
+    mean = labels.select(col(id_col).alias("label_id"), col(label_col).cast("double").alias("y"), bad.alias("bad")).where("label_id is not null and y is not null")
+    mean = mean.groupBy("label_id").agg(F.when(F.avg("bad") > 0.5, 0.0).otherwise(F.avg("y")).alias("y")).where("y <> 0.5")
     some = mean.orderBy(F.xxhash64("label_id", F.lit(SEED)), "label_id").limit(sample)
     # at most `sample` rows of an id and a number: small enough to broadcast whatever the corpus
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("label_id"))
