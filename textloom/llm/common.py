@@ -7,8 +7,6 @@ whatever they are called, cannot clash with the ones it adds.
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import clean, discard, forget, materialize, shared_dir, written  # noqa: F401
+
 WORD = re.compile(r"\w+")
 #: Characters of text that a Python worker turns into arrays at a time.
 CHUNK_CHARS = 200_000
@@ -26,49 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or where unset (tests) one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="textloom-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-_WRITTEN: list[str] = []
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: no recomputation, no lineage.
-
-    Results are lazy, so a written table has to outlive the call; ``clean`` removes this driver's once they are read.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    _WRITTEN.remove(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the written table behind ``df``, which nothing reads any more."""
-    for path in [w for w in _WRITTEN if any(w in f for f in df.inputFiles()[:1])]:
-        _remove(df.sparkSession, path)
-
-
-def clean(spark: SparkSession) -> None:
-    """Remove all tables that this driver has written to the shared folder; results that read them can't be read after."""
-    for path in list(_WRITTEN):
-        _remove(spark, path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has, in any case."""
     taken = {c.lower() for c in df.columns}

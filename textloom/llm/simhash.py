@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, chunks, col, discard, fresh, materialize, mix64, scan
+from .common import batch, chunks, col, discard, forget, fresh, materialize, mix64, scan, written
 
 #: Fingerprints that sampled bits leave in a bucket on average, size from which one is split, chance to try a pair at the limit.
 MAX_DISTANCE, BUCKET, BUCKET_CAP, RECALL = 24, 256, 4096, 0.92
@@ -395,12 +395,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Fingerprints are made once. What goes is a table of ids and text hashes; documents are held against it by both, so copies of one text don't meet in one task.
     """
     id_key, hash_key = fresh(docs, "id_key", "hash_key")
+    before = written()
     name = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     slim = materialize(docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("h"), fingerprint(col(text_col)).alias("fp")).where("fp is not null"), "simhash")
     members = slim.join(_groups(slim, **how), "fp")
     lost = members.where(~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))))
     losers = materialize(lost.select(name(F.col("id")).alias("lost_id"), F.col("h").alias("lost_hash")).distinct(), "losers")
     twins = materialize(slim.groupBy(name(F.col("id")).alias("lost_id"), F.col("h").alias("lost_hash")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twins")
+    forget(before, losers, twins)
     marked = docs.withColumns({id_key: name(col(id_col)), hash_key: F.xxhash64(col(text_col))})
     same = lambda t: (col(id_key) == t.lost_id) & (col(hash_key) == t.lost_hash)
     out = marked.join(losers, same(losers), "left_anti")
