@@ -101,6 +101,67 @@ def span(label, p, o, n, flags=2):
     return {"label": label, "probability": p, "flags": flags, "offset": o, "length": n}
 
 
+def test_risky_rules(spark):
+    """Patterns that backtrack without end are matched all the same, in linear time, with the same matches as elsewhere."""
+    import time
+
+    import regex
+
+    from textloom.operators import rules
+
+    assert [rules.risky(e) for e in ("/(a+)+b/", "/(?:a|b)*c/", "/a+b/", "/[0-9]+(\\.[0-9]+)?/", "the", "/(\\w+ ?)+!/", "/[(a+)+]b/")] == [True, True, False, False, False, True, False]
+    for pattern, text in (("(a+)+b", "aaa b aab! ünï aab" * 3), (r"(?:\ba|b)+", "\na\nba ab\n"), (r"(?i)(ab?)+", "AB abab ß ab"), (r"(x*y?)+z", "xxyxz z yz")):
+        assert rules.linear_spans(text, pattern, 0) == [m.span() for m in regex.finditer(pattern, text, regex.ASCII) if m.group()]
+    assert rules.linear_spans("foo bar! x baz!", r"(?P<w>(\w+ ?)+)!", "w") == [(0, 7), (9, 14)]
+    bad = [("x", "/(a+)+b/", 0.5), ("y", "a", 1.0)]
+    docs = spark.createDataFrame([(1, "a" * 5000), (2, "aab"), (3, None)], "doc_id long, text string")
+    start = time.time()
+    got = {(r.doc_id, r.label): r.n for r in rules.document_rule_matches(docs, bad).collect()}
+    assert got == {(1, "y"): 5000, (2, "x"): 1, (2, "y"): 2}
+    assert {(r.doc_id, r.offset, r.length) for r in rules.span_rule_matches(docs, bad[:1]).collect()} == {(2, 0, 3)} and time.time() - start < 60
+
+
+def test_many_rules(spark, monkeypatch):
+    """More rules than a projection holds are several projections, not a join with all documents."""
+    from textloom.operators import rules
+
+    some = [("x", w, 0.5) for w in ("a", "b", "/c+/", "d", "zz")]
+    docs = spark.createDataFrame([(1, "a b cc d"), (2, "zz")], "doc_id long, text string")
+    want = sorted(map(tuple, rules.document_rule_matches(docs, some).collect()))
+    monkeypatch.setattr(rules, "UNROLL", 2)
+    many = rules.document_rule_matches(docs, some)
+    assert sorted(map(tuple, many.collect())) == want and len(want) == 5
+    assert "Join" not in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbered_group(spark):
+    from textloom.operators import rules
+
+    docs = spark.createDataFrame([(1, "no 17 of 17"), (2, "17")], "doc_id long, text string")
+    got = {(r.doc_id, r.offset, r.length) for r in rules.span_rule_matches(docs, [("n", "/(17) of (?<n>17)/", 0.5)]).collect()}
+    assert got == {(1, 3, 2)}
+
+
+def test_running_on_crowded_values(spark):
+    """Ranges by quantiles: crowded and repeated values, nulls, ties and structs."""
+    from pyspark.sql import functions as F
+
+    from textloom.operators import running
+
+    rows = [(x, i) for i, x in enumerate([None, None, 5.0, 5.0, -1e9, 3.0, 1e12] + [k / 1000 for k in range(3000)] + [0.5] * 700)]
+    df = spark.createDataFrame(rows, "x double, i long")
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for buckets in (1, 3, 16):
+        got = {r.i: r.row for r in running.row_numbers(df, "x", ["i"], "row", buckets).collect()}
+        assert got == {i: k for k, (_, i) in enumerate(order, 1)}
+    got = {r.i: tuple(r.s) for r in running.running_sum(df.where("i < 50"), F.struct(F.lit(1).alias("a"), F.col("i").alias("b")), "x", ["i"], [], "s", 4, sums=("a", "b")).collect()}
+    total = 0
+    for k, (_, i) in enumerate([r for r in order if r[1] < 50], 1):
+        total += i
+        assert got[i] == (k, total)
+    assert running.row_numbers(df.limit(0), "x").count() == 0
+
+
 def test_span_folds(spark):
     a, b, c = span("a", 0.9, 0, 5), span("b", 0.6, 3, 5), span("c", 0.7, 9, 2)
     assert spans.greedy([c, b, a]) == [a, c]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .running import running_sum
+
 
 def safe(top: Column, bottom: Column) -> Column:
     return F.when(bottom != 0, top / bottom).otherwise(F.lit(0.0))
@@ -76,12 +78,13 @@ def multilabel(sets: DataFrame, n_labels: int) -> DataFrame:
 def threshold_curve(scored: DataFrame) -> DataFrame:
     """``(score, tp, fp, pos, neg)`` at each distinct score taken as threshold, from ``(score, positive)``.
 
-    Scores are counted first, so the cumulative window runs over distinct scores, not over rows.
+    Scores are counted first, and summed up in ranges, so no task holds all of them, be they all different.
     """
     hist = scored.groupBy("score").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.count("*").alias("n"))
-    w = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy()
-    return hist.select("score", F.sum("p").over(w).alias("tp"), F.sum(F.col("n") - F.col("p")).over(w).alias("fp"), F.sum("p").over(every).alias("pos"), F.sum(F.col("n") - F.col("p")).over(every).alias("neg"))
+    hist = hist.select("score", (-F.col("score")).alias("order"), "p", (F.col("n") - F.col("p")).alias("q"))
+    up = running_sum(hist, F.struct("p", "q"), "order", [], [], "up", sums=("p", "q"))
+    totals = hist.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("pos"), F.coalesce(F.sum("q"), F.lit(0)).alias("neg"))
+    return up.crossJoin(F.broadcast(totals)).select("score", F.col("up.p").alias("tp"), F.col("up.q").alias("fp"), "pos", "neg")  # one row
 
 
 def best_f1_threshold(scored: DataFrame) -> DataFrame:
@@ -99,16 +102,18 @@ def roc(scored: DataFrame) -> DataFrame:
 
 def auroc(scored: DataFrame) -> DataFrame:
     """One row ``(auroc)``: area by trapezoids over distinct scores."""
-    c = threshold_curve(scored)
-    w = W.orderBy(F.desc("score"))
-    x0, y0 = F.coalesce(F.lag("fp").over(w), F.lit(0)), F.coalesce(F.lag("tp").over(w), F.lit(0))
-    area = (F.col("fp") - x0) * (F.col("tp") + y0) / 2.0
+    c = threshold_curve(scored).join(scored.groupBy("score").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.count("*").alias("n")), "score")
+    # each score's own trapezoid: its width is its negatives, its height the mean of the positives before and with it
+    area = (F.col("n") - F.col("p")) * (2 * F.col("tp") - F.col("p")) / 2.0
     return c.select(area.alias("a"), "pos", "neg").agg(safe(F.sum("a"), F.max("pos") * F.max("neg")).alias("auroc"))
 
 
 def label_probabilities(scores: DataFrame) -> DataFrame:
-    """``(label, probabilities)`` ascending."""
-    return scores.groupBy("label").agg(F.sort_array(F.collect_list("probability")).alias("probabilities"))
+    """``(label, rank, probability)``: each label's probabilities ascending, ranks from 0; equal ones are counted before they are ranked."""
+    hist = scores.groupBy("label", "probability").agg(F.count("*").alias("n"))
+    ranked = running_sum(hist, F.col("n"), "probability", [], ["label"], "upto")
+    rows = ranked.select("label", "probability", F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("rank"))
+    return rows.select("label", F.col("rank").cast("int").alias("rank"), "probability")
 
 
 def confidence_deciles(scores: DataFrame) -> DataFrame:
@@ -118,8 +123,8 @@ def confidence_deciles(scores: DataFrame) -> DataFrame:
     probabilities are counted first, so ranks are sums over distinct values.
     """
     hist = scores.groupBy("label", "probability").agg(F.count("*").alias("n"))
-    w = W.partitionBy("label").orderBy("probability").rowsBetween(W.unboundedPreceding, 0)
-    hist = hist.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(W.partitionBy("label")))
+    totals = scores.groupBy("label").agg(F.count("*").alias("total"))  # one row a label
+    hist = running_sum(hist, F.col("n"), "probability", [], ["label"], "upto").join(F.broadcast(totals), "label")
     q, r = F.floor(F.col("total") / 10), F.col("total") % 10
     cuts = F.array(*[F.struct(F.lit(i).alias("decile"), (F.greatest(q - 1, F.lit(0)) + (i - 1) * q + F.floor(i * r / 10)).alias("rank")) for i in range(1, 10)])
     hit = hist.withColumn("c", F.explode(cuts)).where((F.col("c.rank") < F.col("upto")) & (F.col("c.rank") >= F.col("upto") - F.col("n")))

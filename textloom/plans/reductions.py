@@ -232,8 +232,7 @@ def auroc(spark, d):
 
 
 def label_probabilities(spark, d):
-    g = M.label_probabilities(scores(spark, d))
-    return g.select("label", F.posexplode("probabilities").alias("rank", "p")).select("label", "rank", F.round("p", 6).alias("probability"))
+    return M.label_probabilities(scores(spark, d)).select("label", "rank", F.round("probability", 6).alias("probability"))
 
 
 def confidence_deciles(spark, d):
