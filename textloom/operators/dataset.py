@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .running import row_numbers
 
 
+def keyed_hash(key: str, seed: int) -> Column:
+    """60 bits of a digest of the seed and the key: the same wherever it is computed."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
+
+
 def labelled_points_binary(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(doc_id, label, y)`` of each annotation, y 1.0 or 0.0; annotations of spans are an error."""
     a = docs.select(F.col(id_col).alias("doc_id"), F.explode("annotations").alias("a"))
@@ -51,7 +56,7 @@ def balance_binary(points: DataFrame, tolerance: float = 0.66, seed: int = 42, k
     (small, a), (large, b) = sorted(sizes.items(), key=lambda x: (x[1], x[0]))
     if a / b >= tolerance:
         return points
-    chosen = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * a / b)
+    chosen = F.pmod(keyed_hash(key, seed), F.lit(1_000_000)) < int(1_000_000 * a / b)
     return points.where((F.col("y") == small) | chosen)
 
 
@@ -62,7 +67,7 @@ def with_fold(docs: DataFrame, k: int, order: str = "doc_id") -> DataFrame:
 
 def with_shuffled_fold(docs: DataFrame, k: int, seed: int = 42, order: str = "doc_id") -> DataFrame:
     """Adds ``fold``: folds of equal size, dealt in the order of a keyed hash; under 4k rows all are in fold 0."""
-    hashed = docs.withColumn("_key", F.xxhash64(order, F.lit(seed)))
+    hashed = docs.withColumn("_key", keyed_hash(order, seed))
     rows = row_numbers(hashed, "_key", [order], "_row")
     size = docs.agg(F.count("*").alias("_size"))
     fold = F.when(F.col("_size") < 4 * k, 0).otherwise(F.pmod(F.col("_row") - 1, F.lit(k))).cast("int")
@@ -90,7 +95,7 @@ def validation_sample(docs: DataFrame, k: int = 30, text: str = "text", order: s
 
 def random_holdout(docs: DataFrame, portion: float, seed: int = 42, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Held-out and other rows by a keyed hash."""
-    held = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(portion * 1_000_000)
+    held = F.pmod(keyed_hash(key, seed), F.lit(1_000_000)) < int(portion * 1_000_000)
     return docs.where(held), docs.where(~held)
 
 
@@ -130,3 +135,10 @@ def with_dealt_fold(docs: DataFrame, k: int, seed: int = 1, order: str = "doc_id
     folds = dealt_folds(n, k, seed) if n >= 4 * k else [0] * n
     table = docs.sparkSession.createDataFrame(list(enumerate(folds, 1)), "_row long, fold int")
     return row_numbers(docs, order, [], "_row").join(table, "_row").drop("_row")
+
+
+def merge_class_ids(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``(model, label, class_id)`` of either side, the second's where both have the label of a model."""
+    on = ["model", "label"]
+    a, b = first.select(*on, F.col("class_id").alias("_a")), second.select(*on, F.col("class_id").alias("_b"))
+    return a.join(b, on, "full_outer").select(*on, F.coalesce("_b", "_a").alias("class_id"))

@@ -75,6 +75,14 @@ def multilabel(sets: DataFrame, n_labels: int) -> DataFrame:
     )
 
 
+def multilabel_by_label(sets: DataFrame) -> DataFrame:
+    """``(label, tp, fp, fn, precision, recall, f1)`` of ``(gold, predicted)`` arrays."""
+    rows = sets.select("gold", "predicted", F.explode(F.array_union("gold", "predicted")).alias("label"))
+    g, p = F.array_contains("gold", F.col("label")), F.array_contains("predicted", F.col("label"))
+    n = lambda c: F.sum(c.cast("long"))
+    return prf_by_label(rows.groupBy("label").agg(n(g & p).alias("tp"), n(~g & p).alias("fp"), n(g & ~p).alias("fn")))
+
+
 def threshold_curve(scored: DataFrame) -> DataFrame:
     """``(score, tp, fp, pos, neg)`` at each distinct score taken as threshold, from ``(score, positive)``.
 
@@ -140,6 +148,23 @@ def average_metrics(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("metric_type", "metric_class", "label", "x").agg(F.avg("value").alias("value"))
 
 
+def average_counts(counts: DataFrame, by: list[str], value: str = "n") -> DataFrame:
+    """Means over folds of whole numbers (label counts, cells of a confusion matrix), cut to whole numbers."""
+    return counts.groupBy(*by).agg(F.floor(F.avg(value)).cast("long").alias(value))
+
+
+def concatenate_values(lists: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """The folds' values of a list metric together, as rows ``(by, rank, value)`` in ascending order."""
+    hist = lists.groupBy(*by, value).agg(F.count("*").alias("n"))
+    ranked = running_sum(hist, F.col("n"), value, [], by, "upto")
+    return ranked.select(*by, F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("rank"), value)
+
+
+def display_order(metrics: DataFrame) -> DataFrame:
+    """Metrics in the order they are shown in: by type, then class, then label."""
+    return metrics.orderBy("metric_type", "metric_class", F.col("label").asc_nulls_first(), "x")
+
+
 def learning_curve(metrics: DataFrame, types: tuple[str, ...] = ("LabelF1", "LabelPrecision", "LabelRecall", "F1")) -> DataFrame:
     """``(metric_type, label, points)`` of averaged metrics by portion, points ascending by portion."""
     kept = metrics.where(F.col("metric_type").isin(*types))
