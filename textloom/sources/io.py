@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import decimal
+import enum
+import fractions
 import gzip
+import json
+import uuid
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.columns import sha1_name
 
@@ -54,37 +60,98 @@ def parse_word_vectors(raw: bytes) -> list[tuple[str, list[float]]]:
     return out
 
 
-class WordVectorSource(DataSource):
-    """``spark.read.format("wordvectors").load(paths)``: one task a file, gzip or plain."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "wordvectors"
-
-    def schema(self) -> str:
-        return "word string, vector array<float>"
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _WordVectorReader(self.options)
-
-
-class _WordVectorReader(DataSourceReader):
-    def __init__(self, options):
-        self.paths = options["path"].split(",")
-
-    def partitions(self):
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition):
-        path = partition.value.removeprefix("file:")
-        with open(path, "rb") as f:
-            raw = f.read()
-        yield from map(tuple, parse_word_vectors(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw))
-
-
 def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(WordVectorSource)
-    return spark.read.format("wordvectors").load(path)
+    """``(word, vector)`` of word vector files, gzip or plain, wherever Spark can read: a task a file. A broken end ends its file's list."""
+    schema = pa.schema([("word", pa.string()), ("vector", pa.list_(pa.float32()))])
+
+    def parse(batches):
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                rows = parse_word_vectors(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
+                for i in range(0, len(rows), 10_000):
+                    some = rows[i : i + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some]), pa.array([v for _, v in some], pa.list_(pa.float32()))], schema=schema)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path.split(",") if "," in path else path)
+    return files.select("content").mapInArrow(parse, "word string, vector array<float>")
+
+
+def write_word_vectors(vectors: DataFrame, path: str) -> None:
+    """``(word, vector)`` as gzip word vector files under ``path``, one a partition."""
+    name = f"{path.rstrip('/')}/part-{{}}.bin.gz"
+
+    def write(batches):
+        words, vecs = [], []
+        for b in batches:
+            words += b.column(0).to_pylist()
+            vecs += [np.asarray(v, "<f4") for v in b.column(1).to_pylist()]
+        if words:
+            body = f"{len(words)} {len(vecs[0])}\n".encode() + b"".join(w.encode() + b" " + v.tobytes() for w, v in zip(words, vecs))
+            where, at = fs.FileSystem.from_uri(name.format(uuid.uuid4().hex)) if "://" in name else (fs.LocalFileSystem(), name.removeprefix("file:").format(uuid.uuid4().hex))
+            where.create_dir(at.rsplit("/", 1)[0], recursive=True)
+            with where.open_output_stream(at, compression=None) as f:
+                f.write(gzip.compress(body, 1))
+        yield pa.RecordBatch.from_arrays([pa.array([len(words)], pa.int64())], ["n"])
+
+    vectors.select("word", "vector").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+def read_word2vec_model(spark: SparkSession, path: str) -> DataFrame:
+    """``(word, vector)`` of a word2vec model that Spark has saved: its table of words, or the weights and the index of older ones."""
+    data = spark.read.parquet(f"{path}/data")
+    if "word" in data.columns:
+        return data.select("word", F.col("vector").cast("array<float>").alias("vector"))
+    from pyspark.ml.feature import Word2VecModel
+    from pyspark.ml.functions import vector_to_array
+
+    return Word2VecModel.load(path).getVectors().select("word", vector_to_array("vector").cast("array<float>").alias("vector"))
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A whole file of one JSON object, wherever Spark can read."""
+    rows = spark.read.text(path, wholetext=True).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path} is {len(rows)} files")
+    value = json.loads(rows[0].value)
+    if not isinstance(value, dict):
+        raise ValueError(f"{path} holds no object")
+    return value
+
+
+def to_json_value(value):
+    """A host object as a JSON value: keys have to be strings, whole numbers stay whole, other numbers are doubles, anything else is an error."""
+    if value is None or isinstance(value, (bool, str)):
+        return value
+    if isinstance(value, enum.Enum):
+        return value.name
+    if isinstance(value, dict):
+        if bad := [k for k in value if not isinstance(k, str)]:
+            raise TypeError(f"keys are strings, not {bad[0]!r}")
+        return {k: to_json_value(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [to_json_value(v) for v in value]
+    if isinstance(value, (int, np.integer)):
+        return int(value)
+    if isinstance(value, (float, np.floating, decimal.Decimal, fractions.Fraction)):
+        return float(value)
+    raise TypeError(f"no JSON value for {type(value).__name__}")
+
+
+def documents_from(spark: SparkSession, objects: list[dict]) -> DataFrame:
+    """Documents like those of ``read_documents`` from host objects."""
+    lines = [(json.dumps(to_json_value(o)),) for o in objects]
+    return spark.createDataFrame(lines, "value string").select(F.from_json("value", DOCUMENT).alias("d")).select("d.*")
+
+
+@contextlib.contextmanager
+def replay(df: DataFrame, loops: int):
+    """``loops`` times the same rows, to measure what is done with them: read once, kept by the executors while in use, and let go."""
+    kept = df.persist() if loops > 1 else df
+    try:
+        yield (kept for _ in range(loops))
+    finally:
+        if loops > 1:
+            kept.unpersist()
 
 
 def wide_predictions(docs: DataFrame, predictions: DataFrame, labels: list[str], features: bool = False, id_col: str = "doc_id") -> DataFrame:
@@ -114,7 +181,7 @@ def insights_report(counts: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def land_points(points: DataFrame, path: str, model: Column | None = None) -> None:

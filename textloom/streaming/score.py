@@ -18,3 +18,9 @@ def score_linear(docs: DataFrame, words: str, weights: dict[str, float], interce
     table = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
     margin = F.aggregate(words, F.lit(float(intercept)), lambda acc, w: acc + F.coalesce(F.try_element_at(table, w), F.lit(0.0)))
     return docs.select("doc_id", (1 / (1 + F.exp(-margin))).alias("probability"))
+
+
+def land(stream: DataFrame, path: str, log: str) -> None:
+    """Take all of a stream there is, batch by batch, to Parquet; a restart from the same log goes on where it stopped, once a row."""
+    query = stream.writeStream.format("parquet").option("checkpointLocation", log).option("path", path).trigger(availableNow=True).start()
+    query.awaitTermination()
