@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import indexing as I
 from ..operators import models as M
-from .base import COUNTS, TOKS, VOCAB, documents, table
+from .base import COUNTS, TOKS, VOCAB, W_SQL, documents, table
 
 
 def _feats(spark, d):
@@ -72,8 +73,12 @@ def idf_min_docs(spark, d):
 
 
 def w2v_sum(spark, d):
-    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    return e.groupBy("label", "i").agg(F.round(F.sum(F.col("x").cast("double")), 5).alias("value"))
+    """Sums of the vectors of each conversation's words; a word's vector is one of ``embeddings`` by arithmetic, and a seventh of them are unknown."""
+    words = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), C.words(F.col("text")).alias("w"))
+    feats = words.select("doc_id", F.explode("w").alias("feature"))
+    key = (F.length("feature") * 31 + F.ascii("feature")) % 400
+    vectors = feats.select("feature").distinct().withColumn("vec_id", key.cast("long")).where("vec_id % 7 <> 0").join(table(spark, d, "embeddings"), "vec_id").select("feature", "embedding")
+    return I.embedding_sums(feats, vectors, ["doc_id"]).select(F.col("doc_id").alias("conv_id"), "i", F.round("value", 4).alias("value"))
 
 
 def vector_concat(spark, d):
@@ -85,8 +90,6 @@ def vector_concat(spark, d):
 
 
 
-
-
 def _weights(spark, d):
     """A weight for each word by arithmetic on its length and first letter: checkable in SQL."""
     words = _feats(spark, d).select(F.col("feature").alias("dim")).distinct()
@@ -127,7 +130,7 @@ ORACLES = {
     "tfidf": f"WITH {_WC}, df AS (SELECT word, count(*) AS df FROM wc GROUP BY word) SELECT doc_id, word, round(tf * (ln((SELECT count(*) FROM documents)) - ln(df)), 6) AS value FROM wc JOIN df USING (word)",
     "tfidf_running": f"WITH {_WC}, n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY doc_id) AS df FROM wc) SELECT doc_id, word, round(tf * (ln(n) - ln(df)), 6) AS value FROM r JOIN n USING (doc_id)",
     "idf_min_docs": f"WITH {_WC} SELECT word, count(*) AS df, round(CASE WHEN count(*) >= 3 THEN ln((SELECT count(*) FROM documents)) - ln(count(*)) ELSE 0 END, 6) AS idf FROM wc GROUP BY word",
-    "w2v_sum": "SELECT label, CAST(i AS INTEGER) AS i, round(sum(x), 5) AS value FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY ALL",
+    "w2v_sum": f"WITH w AS (SELECT conv_id, unnest({W_SQL}) AS word FROM conversations), n AS (SELECT conv_id, (length(word) * 31 + unicode(word)) % 400 AS vec_id, count(*) AS k FROM w GROUP BY ALL), e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings WHERE vec_id % 7 <> 0) SELECT conv_id, CAST(i AS INTEGER) AS i, round(sum(k * x), 4) AS value FROM n JOIN e USING (vec_id) GROUP BY ALL",
     "vector_concat": "SELECT doc_id, 0 AS dim, CAST(length(lang) AS DOUBLE) AS value FROM documents UNION ALL SELECT doc_id, 1, CAST(length(source) AS DOUBLE) FROM documents UNION ALL SELECT doc_id, 2, CAST(length(text) AS DOUBLE) FROM documents UNION ALL SELECT doc_id, 3, CAST(n_chars AS DOUBLE) FROM documents",
     "lr_score": f"WITH {_WT} SELECT doc_id, round(1 / (1 + exp(-(sum(tf * weight) + 0.25))), 6) AS probability FROM wc JOIN wt USING (word) GROUP BY doc_id",
     "softmax_score": f"WITH {_WT}, m AS (SELECT doc_id, sum(tf * weight / 10) + 0.1 AS a, sum(tf * -weight / 20) - 0.2 AS b FROM wc JOIN wt USING (word) GROUP BY doc_id), z AS (SELECT *, greatest(0, a, b) AS t FROM m), e AS (SELECT doc_id, exp(-t) AS x, exp(a - t) AS y, exp(b - t) AS w FROM z) SELECT doc_id, 0 AS class_id, round(x / (x + y + w), 6) AS probability FROM e UNION ALL SELECT doc_id, 1, round(y / (x + y + w), 6) FROM e UNION ALL SELECT doc_id, 2, round(w / (x + y + w), 6) FROM e",

@@ -10,6 +10,7 @@ from ..operators import metrics as M
 from ..operators import reduce as R
 from ..operators import rules as RU
 from ..operators import spans as S
+from ..operators import train as TR
 from .base import SCORES, SPANS, TOKS, documents, line_spans, scores, table
 
 RULES = [("alpha", "the", 0.7), ("alpha", "license", 1.0), ("beta", "/[0-9]+/", 0.4), ("beta", "idiot", 0.0), ("gamma", "/th[a-z]+/", 0.6), ("gamma", "%%%", 0.0), ("bad", "weight", 1.5), ("bad", "/(unclosed/", 0.5)]
@@ -171,9 +172,25 @@ def span_prf(spark, d):
     return _rounded(out, "precision", "recall", "f1")
 
 
+def _predicted_annotations(spark, d):
+    """The gold annotations, P moved by 12 characters, Q only on even documents."""
+    tokens, ann = _tokens_and_annotations(spark, d)
+    moved = ann.withColumn("offset", F.when(F.col("label") == "P", F.col("offset") + 12).otherwise(F.col("offset"))).where("label = 'P' or doc_id % 2 = 0")
+    return tokens, ann, moved
+
+
 def token_match_prf(spark, d):
-    gold, predicted = _gold_predicted(spark, d)
-    return _rounded(M.prf_by_label(M.span_counts(gold, predicted, ["doc_id", "offset"])), "precision", "recall", "f1")
+    """Token by token: labels of the spans that cover them."""
+    tokens, gold, predicted = _predicted_annotations(spark, d)
+    g, p = (S.tag_bio(tokens, x).where("tag <> 'O'").select("doc_id", "pos", C.bio_label(F.col("tag")).alias("label")) for x in (gold, predicted))
+    return _rounded(M.prf_by_label(M.span_counts(g, p, ["doc_id", "pos"])), "precision", "recall", "f1")
+
+
+def token_tag_prf(spark, d):
+    """The same with the B and I tags."""
+    tokens, gold, predicted = _predicted_annotations(spark, d)
+    g, p = (S.tag_bio(tokens, x).where("tag <> 'O'").select("doc_id", "pos", F.col("tag").alias("label")) for x in (gold, predicted))
+    return _rounded(M.prf_by_label(M.span_counts(g, p, ["doc_id", "pos"])), "precision", "recall", "f1")
 
 
 def _pairs(spark, d):
@@ -212,6 +229,10 @@ def multilabel_metrics(spark, d):
     return _rounded(m, *m.columns)
 
 
+def multilabel_by_label(spark, d):
+    return _rounded(M.multilabel_by_label(_sets(spark, d)), "precision", "recall", "f1")
+
+
 def _scored(spark, d):
     docs = table(spark, d, "documents").select("doc_id", ((F.col("n_chars") % 1000) / 1000.0).alias("score"))
     return table(spark, d, "labels").join(docs, "doc_id").select("score", (F.col("quality") == 1).alias("positive"))
@@ -243,26 +264,38 @@ def confidence_minmax(spark, d):
     return _rounded(M.confidence_minmax(scores(spark, d)), "least", "most")
 
 
-def _fold_metrics(spark, d):
-    """F1 of each model and label in each of five folds and at each of four portions."""
-    s = scores(spark, d)
-    return s.groupBy((F.col("doc_id") % 5).alias("fold"), ((F.col("doc_id") % 4 + 1) / 4.0).alias("portion"), "model", "label").agg(F.avg("probability").alias("value"))
+def _rates(key):
+    return lambda: TR.Rates(key)
+
+
+def _key(n):
+    return F.concat_ws("/", "lang", (F.col("n_chars") % n).cast("string"))
+
+
+def _labelled(spark, d):
+    """The labelled documents and their points; positions in the order of ids, modulo the number of folds, are the folds."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    return docs, _points(spark, d)
 
 
 def xval_average(spark, d):
-    m = _fold_metrics(spark, d).select(F.lit("LabelF1").alias("metric_type"), F.lit("Model").alias("metric_class"), F.concat_ws("/", "model", "label").alias("label"), F.col("portion").alias("x"), "value")
-    return _rounded(M.average_metrics(m), "value")
+    """A model trained and tested on five folds; its measures, averaged."""
+    docs, points = _labelled(spark, d)
+    out = TR.cross_validate(_rates(_key(9)), docs, points, 5, assign=D.with_fold)
+    return _rounded(out, "value")
 
 
 def learning_curve(spark, d):
-    m = _fold_metrics(spark, d).where("model = 'm1'").groupBy("label", "portion").agg(F.avg("value").alias("value"))
-    curve = M.learning_curve(m.withColumn("metric_type", F.lit("LabelF1")))
+    """The same for portions of the training sets."""
+    docs, points = _labelled(spark, d)
+    curve = TR.learning_curve(_rates(_key(9)), docs, points, [0.25, 0.5, 1.0], 3, assign=D.with_fold)
     return curve.select("metric_type", "label", F.explode("points").alias("p")).select("metric_type", "label", "p.portion", F.round("p.value", 6).alias("value"))
 
 
 def competition_winner(spark, d):
-    r = scores(spark, d).groupBy(F.col("model").alias("name")).agg(F.avg("probability").alias("f1"))
-    return _rounded(M.winner(r), "f1")
+    """Two models against each other on two folds."""
+    docs, points = _labelled(spark, d)
+    return _rounded(TR.compete({"fine": _rates(_key(40)), "coarse": _rates(_key(3))}, docs, points, 2, assign=D.with_fold), "f1")
 
 
 def _points(spark, d):
@@ -315,8 +348,8 @@ def gang_summary(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     doc_rule_matches, doc_rule_score, valid_rules, rules_by_label, weighted_average, gang_reduce, gang_predict, forced_filter, argmax_label, threshold_filter, sort_predictions, model_validate, suggested_thresholds,
-    has_overlaps, span_islands, span_union_avg, annotation_overlap, filter_annotations, bio_assemble, bio_parse, bio_tagging, gold_span_align, span_exact_match, span_prf, token_match_prf, eval_confusion, prf_by_label,
-    micro_macro_prf, multiclass_metrics, multilabel_metrics, best_f1_threshold, roc_curve, auroc, label_probabilities, confidence_deciles, confidence_minmax, xval_average, learning_curve, competition_winner,
+    has_overlaps, span_islands, span_union_avg, annotation_overlap, filter_annotations, bio_assemble, bio_parse, bio_tagging, gold_span_align, span_exact_match, span_prf, token_match_prf, token_tag_prf, eval_confusion, prf_by_label,
+    micro_macro_prf, multiclass_metrics, multilabel_metrics, multilabel_by_label, best_f1_threshold, roc_curve, auroc, label_probabilities, confidence_deciles, confidence_minmax, xval_average, learning_curve, competition_winner,
     labeled_points_binary, labeled_points_multiclass, label_distribution, ensure_two_classes, union_all_balance, portion_prefix, validation_sample, kfold_split, gang_summary,
 )}
 
@@ -343,12 +376,32 @@ _PAIRS = "pairs AS (SELECT lang AS gold, CASE WHEN doc_id % 5 = 0 THEN CASE WHEN
 _SCORED = "scored AS (SELECT (n_chars % 1000) / 1000.0::DOUBLE AS score, quality = 1 AS pos FROM labels JOIN documents USING (doc_id)), h AS (SELECT score, count(*) FILTER (WHERE pos) AS p, count(*) FILTER (WHERE NOT pos) AS q FROM scored GROUP BY score), cv AS (SELECT score, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER () AS pos, sum(q) OVER () AS neg FROM h WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"
 _TAGS = "tags AS (SELECT doc_id, pos, CASE WHEN starts_with(word, 'th') THEN 'BX' WHEN regexp_matches(word, '^[so]') THEN 'IX' ELSE 'O' END AS tag, (length(word) % 7) / 7.0::DOUBLE AS confidence, pos * 10 AS \"offset\", least(length(word), 9) AS length FROM toks)"
 _TA = f"{TOKS}, t AS (SELECT doc_id, pos, pos * 10 AS o FROM toks), a AS (SELECT doc_id, 'P' AS label, 15 AS ao, 20 AS al FROM documents UNION ALL SELECT doc_id, 'Q', 60 + doc_id % 10, 25 FROM documents)"
-_FM = f"{SCORES}, fm AS (SELECT doc_id % 5 AS fold, (doc_id % 4 + 1) / 4.0::DOUBLE AS portion, model, label, avg(probability) AS value FROM scores GROUP BY ALL)"
 _POINTS = "points AS (SELECT doc_id, 'quality' AS label, CAST(quality = 1 AS DOUBLE) AS y FROM labels UNION ALL SELECT doc_id, 'toxic', CAST(toxic = 1 AS DOUBLE) FROM labels)"
 _MULTI = lambda src, n: f"SELECT round(avg({_SAFE('b', 'p')}), 6) AS precision, round(avg({_SAFE('b', 'g')}), 6) AS recall, round(avg({_SAFE('2 * b', '(g + p)')}), 6) AS f1, round(avg(CASE WHEN g + p - b > 0 THEN CAST(b AS DOUBLE) / (g + p - b) ELSE 1.0 END), 6) AS accuracy, round(avg(CASE WHEN b = g AND b = p THEN 1.0 ELSE 0.0 END), 6) AS subset_accuracy, round(avg((g + p - 2 * b) / {float(n)!r}), 6) AS hamming_loss, round({_SAFE('sum(b)', 'sum(p)')}, 6) AS micro_precision, round({_SAFE('sum(b)', 'sum(g)')}, 6) AS micro_recall, round({_SAFE('2 * sum(b)', '(sum(g) + sum(p))')}, 6) AS micro_f1 FROM {src}"
 _LABELLED = " UNION ALL ".join(f"SELECT 'Label{m}' AS metric, label, round({e}, 6) AS value FROM pr" for m, e in (("Precision", "precision"), ("Recall", "recall"), ("F1", "f1"), ("FalsePositiveRate", "fpr")))
 _WHOLE = " UNION ALL ".join(f"SELECT '{m}', NULL, round(sum({e}), 6) FROM pr" for m, e in (("Precision", "tp / tot"), ("Recall", "tp / tot"), ("F1", "tp / tot"), ("WeightedPrecision", "sup / tot * precision"), ("WeightedRecall", "sup / tot * recall"), ("WeightedF1", "sup / tot * f1"), ("WeightedFalsePositiveRate", "sup / tot * fpr")))
 
+
+def _xval_sql(folds: int, portions: list[float], keys: list[tuple[str, int]]) -> str:
+    """``av (name, portion, metric_type, label, value)``: rates by language and length, trained and tested on folds."""
+    runs = ", ".join(f"('{n}', {m}, {p!r}::DOUBLE, {k})" for n, m in keys for p in portions for k in range(folds))
+    per = lambda m, e: f"SELECT name, portion, k, '{m}' AS metric_type, label, {e} AS value FROM c WHERE tp + fp + fn > 0"
+    whole = lambda m, e: f"SELECT name, portion, k, '{m}' AS metric_type, NULL AS label, {e} AS value FROM (SELECT name, portion, k, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(f1) AS mf FROM (SELECT *, {_SAFE('2.0 * tp', '(2 * tp + fp + fn)')} AS f1 FROM c WHERE tp + fp + fn > 0) GROUP BY ALL)"
+    return f"""{_POINTS}, dd AS (SELECT doc_id, lang, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+    runs(name, m, portion, k) AS (VALUES {runs}),
+    side AS (SELECT r.*, dd.doc_id, lang || '/' || (n_chars % m) AS key, place % {folds} = k AS test, row_number() OVER (PARTITION BY name, portion, k, place % {folds} = k ORDER BY dd.doc_id) AS nth, count(*) OVER (PARTITION BY name, portion, k, place % {folds} = k) AS n FROM runs r CROSS JOIN dd),
+    tr AS (SELECT s.*, p.label, p.y FROM side s JOIN points p USING (doc_id) WHERE NOT test AND nth <= floor(n * portion)),
+    own AS (SELECT name, portion, k, label, key, avg(y) AS rate FROM tr GROUP BY ALL), rest AS (SELECT name, portion, k, label, avg(y) AS rate FROM tr GROUP BY ALL),
+    sc AS (SELECT s.name, s.portion, s.k, p.label, p.y = 1 AS g, coalesce(o.rate, r.rate) >= 0.5 AS p FROM side s JOIN points p USING (doc_id) JOIN rest r ON r.name = s.name AND r.portion = s.portion AND r.k = s.k AND r.label = p.label LEFT JOIN own o ON o.name = s.name AND o.portion = s.portion AND o.k = s.k AND o.label = p.label AND o.key = s.key WHERE test),
+    c AS (SELECT name, portion, k, label, count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE NOT g AND p) AS fp, count(*) FILTER (WHERE g AND NOT p) AS fn FROM sc GROUP BY ALL),
+    each AS ({per('LabelPrecision', _SAFE('tp', '(tp + fp)'))} UNION ALL {per('LabelRecall', _SAFE('tp', '(tp + fn)'))} UNION ALL {per('LabelF1', _SAFE('2.0 * tp', '(2 * tp + fp + fn)'))} UNION ALL {whole('F1', _SAFE('2.0 * tp', '(2 * tp + fp + fn)'))} UNION ALL {whole('MacroF1', 'mf')}),
+    av AS (SELECT name, portion, metric_type, label, avg(value) AS value FROM each GROUP BY ALL)"""
+
+
+_TWO = f"{_TA}, b AS (SELECT doc_id, label, ao + CASE WHEN label = 'P' THEN 12 ELSE 0 END AS ao, al FROM a WHERE label = 'P' OR doc_id % 2 = 0)"
+_TAGGED = lambda src: f"(SELECT doc_id, pos, arg_min(CASE WHEN k = 1 THEN 'B' ELSE 'I' END || label, ao) AS tag FROM (SELECT t.doc_id, t.pos, x.label, x.ao, row_number() OVER (PARTITION BY t.doc_id, x.ao ORDER BY t.pos) AS k FROM t JOIN {src} x ON x.doc_id = t.doc_id AND t.o + 9 > x.ao AND t.o < x.ao + x.al) GROUP BY doc_id, pos)"
+_TOKEN = lambda tag: f"{_TWO}, gd AS (SELECT doc_id, pos, {tag} AS label, 1 AS g FROM {_TAGGED('a')}), pd AS (SELECT doc_id, pos, {tag} AS label, 1 AS p FROM {_TAGGED('b')}), j AS (SELECT * FROM gd FULL JOIN pd USING (doc_id, pos, label)), c AS (SELECT label, count(*) FILTER (WHERE g = 1 AND p = 1) AS tp, count(*) FILTER (WHERE g IS NULL) AS fp, count(*) FILTER (WHERE p IS NULL) AS fn FROM j GROUP BY label)"
+
 ORACLES = {
     "doc_rule_matches": f"WITH {MATCHES} SELECT doc_id, label, rule, weight, CAST(n AS INTEGER) AS n FROM matches",
     "doc_rule_score": f"WITH {MATCHES}, {_SCORE_RULES} SELECT doc_id, label, round(probability, 6) AS probability, match_count, flags FROM rule_scores",
@@ -374,7 +427,9 @@ ORACLES = {
     "gold_span_align": f"WITH {_TA} SELECT t.doc_id, label, CAST(min(o) AS INTEGER) AS \"offset\", CAST(sum(9) AS INTEGER) AS length FROM t JOIN a ON a.doc_id = t.doc_id AND t.o + 9 > ao AND t.o < ao + al GROUP BY t.doc_id, label, ao, al",
     "span_exact_match": f"WITH {_GOLDP} SELECT label, count(*) AS n FROM p WHERE EXISTS (SELECT 1 FROM g WHERE g.doc_id = p.doc_id AND g.label = p.label AND g.\"offset\" = p.\"offset\" AND g.length = p.length) GROUP BY label",
     "span_prf": f"WITH {_span_counts('doc_id, \"offset\", length')} {_PRF('c')}",
-    "token_match_prf": f"WITH {_span_counts('doc_id, \"offset\"')} {_PRF('c')}",
+    "token_match_prf": f"WITH {_TOKEN('substr(tag, 2)')} {_PRF('c')}",
+    "token_tag_prf": f"WITH {_TOKEN('tag')} {_PRF('c')}",
+    "multilabel_by_label": f"WITH x AS (SELECT 'quality' AS label, quality = 1 AS g, doc_id % 7 <> 0 AS p FROM labels UNION ALL SELECT 'toxic', toxic = 1, doc_id % 3 = 0 FROM labels), c AS (SELECT label, count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE NOT g AND p) AS fp, count(*) FILTER (WHERE g AND NOT p) AS fn FROM x GROUP BY label) {_PRF('c')}",
     "eval_confusion": f"WITH {_PAIRS} SELECT gold, predicted, count(*) AS n FROM pairs GROUP BY ALL",
     "prf_by_label": f"WITH {_PAIRS} {_PRF('c')}",
     "micro_macro_prf": f"WITH {_PAIRS}, p AS (SELECT tp, fp, fn, {_SAFE('tp', '(tp + fp)')} AS a, {_SAFE('tp', '(tp + fn)')} AS b, {_SAFE('2.0 * tp', '(2 * tp + fp + fn)')} AS f FROM c), s AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(a) AS ma, avg(b) AS mb, avg(f) AS mf FROM p) SELECT round(tp / (tp + fp), 6) AS micro_precision, round(tp / (tp + fn), 6) AS micro_recall, round(2 * tp / (2 * tp + fp + fn), 6) AS micro_f1, round(ma, 6) AS macro_precision, round(mb, 6) AS macro_recall, round(mf, 6) AS macro_f1 FROM s",
@@ -386,9 +441,9 @@ ORACLES = {
     "label_probabilities": f"WITH {SCORES} SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY probability) - 1 AS INTEGER) AS rank, round(probability, 6) AS probability FROM scores",
     "confidence_deciles": f"WITH {SCORES}, r AS (SELECT label, probability, row_number() OVER (PARTITION BY label ORDER BY probability) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM scores) SELECT label, CAST(i AS INTEGER) AS decile, round(probability, 6) AS probability FROM r, (SELECT unnest(range(1, 10)) AS i) WHERE k = greatest(n // 10 - 1, 0) + (i - 1) * (n // 10) + (i * (n % 10)) // 10",
     "confidence_minmax": f"WITH {SCORES} SELECT label, round(min(probability), 6) AS least, round(max(probability), 6) AS most FROM scores GROUP BY label",
-    "xval_average": f"WITH {_FM} SELECT 'LabelF1' AS metric_type, 'Model' AS metric_class, model || '/' || label AS label, portion AS x, round(avg(value), 6) AS value FROM fm GROUP BY ALL",
-    "learning_curve": f"WITH {_FM} SELECT 'LabelF1' AS metric_type, label, portion, round(avg(value), 6) AS value FROM fm WHERE model = 'm1' GROUP BY ALL",
-    "competition_winner": f"WITH {SCORES} SELECT model AS name, round(avg(probability), 6) AS f1 FROM scores GROUP BY model ORDER BY avg(probability) DESC, model LIMIT 1",
+    "xval_average": f"WITH {_xval_sql(5, [1.0], [('a', 9)])} SELECT metric_type, 'Model' AS metric_class, label, 0.0::DOUBLE AS x, round(value, 6) AS value FROM av",
+    "learning_curve": f"WITH {_xval_sql(3, [0.25, 0.5, 1.0], [('a', 9)])} SELECT metric_type, label, portion, round(value, 6) AS value FROM av WHERE metric_type <> 'MacroF1'",
+    "competition_winner": f"WITH {_xval_sql(2, [1.0], [('fine', 40), ('coarse', 3)])} SELECT name, round(value, 6) AS f1 FROM av WHERE metric_type = 'F1' ORDER BY value DESC, name LIMIT 1",
     "labeled_points_binary": f"WITH {_POINTS} SELECT * FROM points",
     "labeled_points_multiclass": f"WITH {_POINTS}, f AS (SELECT label, min(doc_id) AS m FROM points WHERE y = 1 GROUP BY label), i AS (SELECT label, row_number() OVER (ORDER BY m, label) - 1 AS k FROM f) SELECT doc_id, label, CAST(k AS INTEGER) AS class_id FROM points JOIN i USING (label) WHERE y = 1",
     "label_distribution": f"WITH {_POINTS} SELECT label, count(*) AS n FROM points WHERE y = 1 GROUP BY label",
