@@ -1,6 +1,7 @@
 """Operators on small hand-made inputs."""
 
 import gzip
+import re
 import struct
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from textloom.functions import columns as C
 from textloom.functions import language as L
 from textloom.functions import tokenizer as T
-from textloom.operators import crf, dataset, indexing, models, rules, running, spans, train
+from textloom.operators import crf, dataset, forge, indexing, metrics, models, ner, rules, running, spans, train
 from textloom.operators import reduce as R
 from textloom.plans.engines import GRAPH
 from textloom.plans.graph import TransformGraph
@@ -50,6 +51,19 @@ def test_tokens():
     assert T.tokenize(None) == [] and T.tokenize("") == []
 
 
+def test_nested_sections():
+    """Conditional sections and internal subsets are one token each, whatever is nested in them; unclosed ones are text."""
+    marks = lambda t: [c for c, k, _ in T.tokenize(t, "XML") if k == "Markup"]
+    section = "<![%x; [<!ENTITY t 'IGNORE ]]>'> <![INCLUDE[ a <!-- ]]> --> ]]> ]]>"
+    assert marks(f"{section}hello!\n<![%bar; []]>") == [section, "<![%bar; []]>"]
+    dtd = "<!DOCTYPE complex [\n<!-- comments <![ here -->\n%this;\n<!ELEMENT foo>\n<![%that; [ <![%this; [ <!ATTLIST bar> ]]> ]]>\n<?pi ]> ?>\n]\n>"
+    assert marks(f'{dtd}<foo bar="baz">hi</foo>') == [dtd, '<foo bar="baz">', "</foo>"]
+    assert marks('<!DOCTYPE html PUBLIC "a" "b"><doc/>') == ['<!DOCTYPE html PUBLIC "a" "b">', "<doc/>"]
+    for text in ("<![x[ <b>", "<!DOCTYPE a [ <!ELEMENT b>", "<!DOCTYPE a"):
+        assert "".join(c for c, *_ in T.tokenize(text, "XML")) == text
+    assert marks("<![x[ <b> c") == ["<b>"]
+
+
 def test_sniff():
     cases = {"<p>x</p>": "HTML", "<a><b/></a>": "XML", "<?xml?>": "XML", "<![CDATA[x]]>": "XML", "<!-- c -->": "XML", "<!-- c --><br>": "HTML", "<!ELEMENT>": "PlainText", "a < b": "PlainText", "<1>": "PlainText", "<a": "PlainText", "plain": None, None: None}
     for text, want in cases.items():
@@ -226,7 +240,94 @@ def test_language(spark, sf):
     p = L.train_profiles(train_)
     got = test.select(C.normalize_language(F.col("lang")).alias("a"), F.col("n_chars"), L.language(F.lit(None).cast("string"), L.detect(test, F.col("text"), F.lit(False), p)).alias("b")).where("n_chars > 100").collect()
     assert np.mean([r.a == r.b for r in got]) > 0.97
-    assert L.scores("안녕하세요", p)[0][0] == "kor" and L.scores("123", p) == [] and L.scores("<b>Γειά σου</b>", p, True)[0][0] == "ell"
+    c = L.compile_profiles(p)
+    first = lambda t, **k: [f[0].language if f else None for f in L.classify([t], c, **k)][0]
+    assert first("안녕하세요") == "kor" and first("123") is None and first(L.plain("<b>Γειά σου</b>", True)) == "ell" and first("これは漢字です") == "jpn" and first("汉字") == "zho"
+
+
+def brute_trigrams(text, profiles):
+    """Chunks of trigrams scored one by one."""
+    words = "".join(x if x.isalpha() else " " for x in text.lower()).split()
+    grams = [p[i : i + 3] for w in words for p in (f"_{w}_",) for i in range(len(p) - 2)]
+    shares = {}
+    for i in range(0, len(grams), L.CHUNK):
+        part = grams[i : i + L.CHUNK]
+        sums = {k: sum(v.get(g, min(v.values()) - 1) for g in part) for k, v in profiles.items()}
+        best, second = sorted(sums, key=lambda k: -sums[k])[:2]
+        held = shares.setdefault(best, [0, 0.0])
+        held[0] += len(part)
+        held[1] += len(part) * min(1.0, (sums[best] - sums[second]) / len(part) / L.SURE)
+    return {k: (n / len(grams), r / n) for k, (n, r) in shares.items()}
+
+
+def test_language_by_brute_force(spark, sf):
+    p = L.train_profiles(spark.read.parquet(f"{sf}/documents.parquet"))
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()][:60] + ["a", "", "x 1 y", "Ab-cd!"]
+    for text, found in zip(texts, L._totals(texts, L.compile_profiles(p), [[] for _ in texts])):
+        want = brute_trigrams(text, p)
+        assert {f.language for f in found} == set(want)
+        assert all(f.share == pytest.approx(want[f.language][0]) and f.reliability == pytest.approx(want[f.language][1]) for f in found)
+
+
+def test_language_judgement(monkeypatch):
+    F_ = L.Found
+    assert [f.language for f in L.judged([F_("eng", 0.8, 1.0), F_("pol", 0.2, 1.0)])] == ["pol", "eng"]
+    assert [f.language for f in L.judged([F_("eng", 0.9, 1.0), F_("pol", 0.1, 1.0)])] == ["eng", "pol"]
+    assert [f.language for f in L.judged([F_("deu", 0.75, 1.0), F_("fra", 0.25, 1.0)])] == ["deu", "fra"]
+    assert [(f.language, f.share) for f in L.judged([F_("ces", 0.6, 1.0), F_("slk", 0.4, 0.5)])] == [("ces", 1.0)]
+    assert [f.language for f in L.judged([F_("fra", 0.6, 0.1), F_("deu", 0.4, 0.9)])] == ["deu"] and [f.language for f in L.judged([F_("fra", 1.0, 0.1)])] == ["fra"]
+    assert not L.reliable([F_("fra", 1.0, 0.1)]) and not L.reliable([]) and L.reliable([F_("fra", 0.5, 0.9)])
+    assert L.squeezed("some different words in a text that is long enough to be looked at " * 10).count("words") == 1 and L.squeezed("short") is None
+    assert L.squeezed(" ".join(f"word{i}" for i in range(200))) is None and L.squeezed("a    " * 100) == "a "
+    c = L.compile_profiles(L.default_profiles())
+    one = lambda t, h=None: L.classify([t], c, [h or []])[0][0].language
+    assert one("Ceci est une phrase en français") == "fra" and one("Das ist ein deutscher Satz") == "deu" and one("Questa è una frase in italiano") == "ita"
+    plain = L._totals(["la casa no"], c, [[]])[0][0]
+    assert plain.language != "por" and L.HINT < 1
+    monkeypatch.setattr(L, "HINT", 5.0)
+    assert L._totals(["la casa no"], c, [["por"]])[0][0].language == "por"
+    ids = L.language_ids()
+    assert ids["und"] == 0 and len(set(ids.values())) == len(ids)
+
+
+def test_language_hints(spark):
+    df = spark.createDataFrame([('<html lang="fr-CA">', "https://a.b.de/x"), ('<meta http-equiv="Content-Language" content="es">', "http://x.com/"), ("<p>", None)], "h string, u string")
+    got = df.select(L.html_hint(F.col("h")).alias("a"), L.domain_hint(F.col("u")).alias("b")).collect()
+    assert [tuple(r) for r in got] == [("fra", "deu"), ("spa", None), (None, None)]
+
+
+def test_stopwords(spark):
+    import unicodedata
+
+    from textloom.functions import stopwords as S
+
+    assert {"eng", "ita", "jpn", "por", "rus", "spa", "zho"} <= set(S.LISTS)
+    lists = S.stopword_map({"eng": {"foo"}, "xxx": {"é"}})
+    assert lists["eng"] == {"foo"} and unicodedata.normalize("NFD", "é") in lists["xxx"] and "é" in lists["xxx"] and "der" in lists["deu"]
+    assert S.stopword_map({"a": {"b"}}, {"c": {"d"}}) == {"a": {"b"}, "c": {"d"}}
+    assert S.stopword_frame(spark, {"a": {"b", "c"}}).count() == 2
+    df = spark.createDataFrame([("eng", ["foo", "bar"]), ("unknown", ["foo", "der"]), (None, ["der"])], "l string, w array<string>")
+    got = df.select(C.drop_stopwords(F.col("w"), S.stopword_column(lists, F.col("l"), "deu")).alias("w")).collect()
+    assert [r.w for r in got] == [["bar"], ["foo"], []]
+
+
+@given(st.text(alphabet="abZé19_-.,;:'’·!?()<>&=/%@#$\n\r\t ", max_size=25))
+@settings(max_examples=300, deadline=None)
+def test_simple_words(text):
+    """The fast cut of common characters is that of the full rules, but for the apostrophes that these tailor before vowels."""
+    fast, full = [], []
+    T._words(text, 0, len(text), fast)
+    T._complex_words(text, 0, full)
+    if not re.search(r"['’](?=[aeiouyéè])", text, re.I):
+        assert fast == full
+    assert "".join(t for t, *_ in fast) == text
+
+
+@given(st.lists(st.sampled_from(["a", " ", ":-)", "http://x.de/a?b", "&amp;", "&#65;", "<3", "o.O", "mailto:a@b.c", ":", "8-)", "x", "D:", "-_-", "(:", "tel:1"]), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_overlays(parts):
+    text = "".join(parts)
+    assert [m.span() for m in T._overlays(text, 0, len(text))] == [m.span() for m in T._OVERLAY.finditer(text)]
 
 
 def test_sources(spark, tmp_path):
@@ -271,6 +372,169 @@ def test_train_and_store(spark, tmp_path):
     assert win.name == "kbinary" and win.f1 > 0.9
 
 
+def test_graph_terminals(spark):
+    """Vectors of several terminals side by side, as sums by hand; pruning and inverting dims; what can't be built."""
+    docs = spark.createDataFrame([(1, "a b a", "en"), (2, "b c", "en"), (3, "", None)], "doc_id long, content string, l string")
+    docs = docs.select("doc_id", "content", F.create_map(F.lit("iso_639_1"), F.col("l")).alias("metadata"))
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("c", [0.5, 0.0])], "feature string, embedding array<float>")
+    ends = [("index", "IndexTransformer", {}), ("tfidf", "TfIdfTransformer", {"minimumDocumentObservations": 1}), ("w2v", "Word2VecTransformer", {"vectors": vectors})]
+    config = GRAPH | {"transforms": [*GRAPH["transforms"], *[{"name": n, "class": f"some.package.{c}" if n == "x" else c, "config": k} for n, c, k in ends]]}
+    config["pipeline"] = [*[p for p in GRAPH["pipeline"] if p["name"] != "$output"], *[{"name": n, "inputs": ["bag"]} for n, *_ in ends], {"name": "$output", "inputs": [n for n, *_ in ends]}]
+    g = TransformGraph(config)
+    with pytest.raises(ValueError):
+        g.vectors(docs).count()
+    g.prime(docs)
+    assert g.dimension == 3 + 3 + 2
+    got = {(r.doc_id, r.dim): r.value for r in g.vectors(docs).collect()}
+    ln = np.log
+    want = {(1, 0): 2, (1, 1): 1, (2, 1): 1, (2, 2): 1, (1, 3): 2 * (ln(2) - ln(1)), (2, 5): ln(2), (1, 6): 2.0, (1, 7): 4.0, (2, 6): 0.5, (2, 7): 0.0}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(v) for k, v in want.items())
+    dims = spark.createDataFrame([(i,) for i in range(8)], "dim int")
+    assert {r.dim: r.feature for r in g.invert(dims).collect()} == {0: "a", 1: "b", 2: "c", 3: "a", 4: "b", 5: "c", 6: None, 7: None}
+    g.prune(spark.createDataFrame([(0,), (5,)], "dim int"))
+    assert {r.dim: r.feature for r in g.invert(dims).collect() if r.feature} == {0: "a", 5: "c"} and g.dimension == 8
+    bad = config | {"pipeline": [*config["pipeline"], {"name": "grams", "inputs": ["index"]}]}
+    with pytest.raises(ValueError):
+        TransformGraph(bad)
+
+
+def test_graph_detects_language(spark):
+    config = {"version": "0.0.1", "transforms": [t for t in GRAPH["transforms"] if t["name"] in ("type", "lang")], "pipeline": [*[p for p in GRAPH["pipeline"] if p["name"] in ("type", "lang")], {"name": "$output", "inputs": ["lang"]}]}
+    rows = [("This is an English document", "zh-Hant"), ("Ceci est une phrase en français", None), ("<!doctype html><div class='class names are often english text'>Ceci est une phrase en français</div>", None), ("12", None)]
+    docs = spark.createDataFrame(rows, "content string, l string").select("content", F.create_map(F.lit("iso_639_1"), F.col("l")).alias("metadata"))
+    assert [r.lang for r in TransformGraph(config).apply(docs).collect()] == ["zho", "fra", "fra", None]
+
+
+def test_sources_more(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"a": [1,\n2]}')
+    assert io.read_config(spark, str(tmp_path / "c.json")) == {"a": [1, 2]}
+    (tmp_path / "l.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        io.read_config(spark, str(tmp_path / "l.json"))
+    import decimal
+
+    assert io.to_json_value({"a": [1, 2.5, None, True, decimal.Decimal("1.5")], "b": (np.int64(3), np.float32(0.5))}) == {"a": [1, 2.5, None, True, 1.5], "b": [3, 0.5]}
+    for bad in ({1: 2}, object(), {"a": {2: 3}}):
+        with pytest.raises(TypeError):
+            io.to_json_value(bad)
+    assert io.documents_from(spark, [{"name": "n", "content": "c"}, {"content": "d", "annotations": [{"label": {"name": "x"}, "isPositive": True}]}]).count() == 2
+    with io.replay(spark.range(5), 3) as runs:
+        assert [df.count() for df in runs] == [5, 5, 5]
+    from pyspark.ml.feature import Word2Vec
+
+    words = spark.createDataFrame([(["a", "b", "a"],), (["b", "c"],)], "w array<string>")
+    model = Word2Vec(vectorSize=3, minCount=1, inputCol="w", outputCol="v", seed=1).fit(words)
+    model.save(str(tmp_path / "w2v"))
+    want = {r.word: r.vector.toArray() for r in model.getVectors().collect()}
+    got = {r.word: np.array(r.vector) for r in io.read_word2vec_model(spark, str(tmp_path / "w2v")).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[k], v, atol=1e-6) for k, v in want.items())
+    vectors = spark.createDataFrame([(f"w{i}", [float(i), 1.0]) for i in range(9)], "word string, vector array<float>")
+    io.write_word_vectors(vectors.repartition(3), str(tmp_path / "vectors"))
+    assert sorted((r.word, list(r.vector)) for r in io.read_word_vectors(spark, str(tmp_path / "vectors")).collect()) == sorted((f"w{i}", [float(i), 1.0]) for i in range(9))
+
+
+def test_more_metrics(spark):
+    counts = spark.createDataFrame([(0, "a", 3), (1, "a", 4), (0, "b", 1)], "fold int, label string, n long")
+    assert {r.label: r.n for r in metrics.average_counts(counts, ["label"]).collect()} == {"a": 3, "b": 1}
+    values = spark.createDataFrame([("x", 2.0), ("x", 1.0), ("x", 1.0), ("y", 5.0)], "label string, value double")
+    assert sorted(map(tuple, metrics.concatenate_values(values, ["label"]).collect())) == [("x", 0, 1.0), ("x", 1, 1.0), ("x", 2, 2.0), ("y", 0, 5.0)]
+    m = spark.createDataFrame([("F1", "b", None, 0.0), ("F1", "a", "x", 0.0), ("AUROC", "z", None, 0.0)], "metric_type string, metric_class string, label string, x double")
+    assert [r.metric_class for r in metrics.display_order(m).collect()] == ["z", "a", "b"]
+    a = spark.createDataFrame([("m", "x", 0), ("m", "y", 1)], "model string, label string, class_id int")
+    b = spark.createDataFrame([("m", "y", 5), ("n", "x", 2)], "model string, label string, class_id int")
+    assert sorted(map(tuple, dataset.merge_class_ids(a, b).collect())) == [("m", "x", 0), ("m", "y", 5), ("n", "x", 2)]
+
+
+def _labelled(spark, n=90):
+    words = {0: "good nice fine", 1: "bad awful poor", 2: "red green blue"}
+    rows = [(i, f"{words[i % 3]} w{i % 7} w{i % 5}", i % 3) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    points = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f"l{k}").alias("label"), (F.col("k") == k).cast("double").alias("y")) for k in range(3)])).alias("p")).select("doc_id", "p.*")
+    return docs.select("doc_id", "text"), points
+
+
+def test_forge_configurations(spark):
+    """Trainers, furnaces and scales by configuration, and users' own."""
+    docs, points = _labelled(spark)
+    simple = {"jsonClass": "a.b.SimpleLogisticRegressionFurnaceBuilder", "maxIterations": 50, "regParam": [0.001], "elasticNetParam": [0.0]}
+    per = {"jsonClass": "PerLabelFurnaceBuilder", "labelFurances": {"l0": simple, "l1": {"jsonClass": "HoldOutSetLogisticRegressionFurnace", "regParam": [0.01, 0.1]}, "l2": {"jsonClass": "XValLogisticRegressionFurnaceBuilder", "regParam": [0.01], "numFolds": 2}}}
+    made = forge.from_config({"trainerConfig": {"jsonClass": "KClass1FPBuilder", "furnaceBuilder": per, "dataGenBuilder": {"scale": {"jsonClass": "BalancedBinaryScaleBuilder", "tolerance": 0.9}}, "pipeline": {"maxNgram": 1}}})
+    pred = made().fit(docs, points).predict(docs)
+    ev = {(r.metric_type, r.label): r.value for r in train.evaluate(pred, points).collect()}
+    assert ev["F1", None] > 0.95
+    with pytest.raises(KeyError):
+        forge.from_config({"trainerConfig": {"jsonClass": "KClass1FP", "furnaceBuilder": {"jsonClass": "PerLabelFurnace", "labelFurnaces": {"l0": simple}}}})().fit(docs, points)
+    with pytest.raises(KeyError):
+        forge.from_config({"trainerConfig": {"jsonClass": "Unheard"}})
+    multi = forge.from_config({"trainerConfig": {"jsonClass": "MultiClass1FPBuilder", "furnaceBuilder": {"jsonClass": "MultiClassLRFurnaceBuilder", "regParam": [0.01]}, "pipeline": {"maxNgram": 1}}})().fit(docs, points)
+    best = {r.doc_id: r.label for r in R.argmax_label(multi.predict(docs)).collect()}
+    assert all(best[i] == f"l{i % 3}" for i in range(90))
+    assert multi.predict(spark.createDataFrame([(1, "unheard")], "doc_id long, text string")).agg(F.sum("probability")).first()[0] == pytest.approx(1)
+    curve = forge.from_config({"trainerConfig": {"jsonClass": "LearningCurveTrainerBuilder", "portions": [0.5, 1.0], "numFolds": 2, "trainerBuilder": {"jsonClass": "KClass1FPBuilder", "furnaceBuilder": simple, "pipeline": {"maxNgram": 1}}}}).evaluate(docs, points)
+    assert {len(r.points) for r in curve.collect()} == {2}
+
+    @forge.register("trainer", "Classification", "MyOwn")
+    def own(config):
+        return lambda: train.Rates(F.substring("text", 1, config["letters"]))
+
+    rivals = {"jsonClass": "CompetitiveTrainerBuilder", "numFolds": 2, "trainerBuilders": {"mine": {"jsonClass": "MyOwn", "letters": 3}, "worse": {"jsonClass": "MyOwn", "letters": 0}}}
+    contest = forge.from_config({"trainerConfig": rivals})
+    assert contest.evaluate(docs, points).first().name == "mine" and contest.fit(docs, points).predict(docs).count() == 270
+
+
+def test_best_pipelines(spark):
+    """A label that single words tell and one that only pairs of words tell each take their own pipeline."""
+    rows = [(i, ("up " if i % 2 else "down ") + ("one two" if i % 4 < 2 else "two one"), i % 2, int(i % 4 < 2)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, a int, b int")
+    points = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("y")) for c in ("a", "b")])).alias("p")).select("doc_id", "p.*")
+    makers = {"words": lambda: train.KBinary(train.Featurizer(1, 1, 1)), "pairs": lambda: train.KBinary(train.Featurizer(2, 2, 1))}
+    m = train.BestPipelines(makers).fit(docs.select("doc_id", "text"), points)
+    assert m.chosen == {"a": "words", "b": "pairs"}
+    ev = {(r.metric_type, r.label): r.value for r in train.evaluate(m.predict(docs.select("doc_id", "text")), points).collect()}
+    assert ev["F1", None] == 1.0
+
+
+def test_chain_ner(spark):
+    """Spans at the text's own offsets, learned from annotated texts; forged with rules; measured at three granularities."""
+    import random
+
+    r = random.Random(4)
+    texts, gold = [], []
+    for i in range(80):
+        words = r.choices(["the", "a", "saw", "near", "with", ",", "ran"], k=r.randint(3, 8))
+        at = r.randint(0, len(words))
+        name = f"{r.choice(['Ann', 'Bob', 'Eve'])} {r.choice(['Smith', 'Jones', 'Brown'])}"
+        words.insert(at, name)
+        text = " ".join(words) + "."
+        texts.append((i, text))
+        gold.append((i, "person", text.index(name), len(name)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    ann = spark.createDataFrame(gold, "doc_id long, label string, offset int, length int")
+    train_docs, test = docs.where("doc_id < 60"), docs.where("doc_id >= 60")
+    model = ner.ChainNER(rounds=60).fit(train_docs, ann.where("doc_id < 60"))
+    got = {(x.doc_id, x.label, x.offset, x.length) for x in model.predict(test).collect()}
+    assert got == {g for g in gold if g[0] >= 60}
+    again = ner.ChainNER(rounds=60).fit(train_docs, ann.where("doc_id < 60"))
+    assert {(x.doc_id, x.offset) for x in again.predict(test).collect()} == {(d, o) for d, _, o, _ in got}
+    wrong = ann.withColumn("length", F.when(F.col("doc_id") < 70, 3).otherwise(F.col("length"))).where("doc_id >= 60")
+    ev = {(x.granularity, x.label): (x.tp, x.fp, x.fn) for x in ner.evaluate_spans(test, ann.where("doc_id >= 60"), wrong).collect()}
+    assert ev["Span", "person"] == (10, 10, 10) and ev["Token", "person"] == (30, 0, 10) and ev["TokenTag", "Bperson"] == (20, 0, 0) and ev["TokenTag", "Iperson"] == (10, 0, 10)
+    config = {"forgeName": "BasicSpanAlloyForge", "forgeConfig": {"rules": [["ran", "ran", 0.9]], "furnaces": [{"name": "r", "furnace": "SpanRuleFurnace"}, {"name": "c", "furnace": "ChainNERFurnace", "config": {"rounds": 60}}]}}
+    made = forge.from_config(config)()
+    assert made.names == ["rules.r", "model.c"]
+    labels = {x.label for x in made.fit(train_docs, ann).predict(test).collect()}
+    assert labels == {"person", "ran"}
+    out = train.train_and_evaluate(lambda: ner.ChainNER(rounds=60), train_docs, test, ann, forge.evaluate_spans)
+    assert {(x.summary, round(x.value, 3)) for x in out.where("metric_type = 'F1'").collect()} == {("TEST", 1.0), ("TRAIN", 1.0)}
+
+
+def test_classification_forge(spark):
+    docs, _ = _labelled(spark, 9)
+    made = forge.from_config({"forgeName": "BasicClassificationForge", "forgeConfig": {"furnaces": [{"name": "a", "furnace": "RuleFurnace", "config": {"rules": [{"label": "x", "expression": "good", "weight": 0.8}]}}]}})
+    got = made().fit(docs, None).predict(docs).collect()
+    assert {r.doc_id for r in got} == {0, 3, 6} and {round(r.probability, 3) for r in got} == {0.8}
+
+
 def test_graph(spark):
     g = TransformGraph(GRAPH)
     assert g.stages[0] == ["content", "type"] and g.stages[-1] == ["grams"]
