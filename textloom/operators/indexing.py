@@ -17,6 +17,17 @@ def features(docs: DataFrame, array: str, id_col: str = "doc_id") -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(array).alias("pos", "feature")).where("feature is not null")
 
 
+def gram_rows(docs: DataFrame, array: str, picks: list[list[int]], keep: tuple[str, ...] = (), by: str = " ") -> DataFrame:
+    """``(keep, pick, gram)``: for each place of an array and each pick (offsets from it, the last one the largest) the items there, joined.
+
+    The place is what is exploded, and the items are looked up, so neither arrays of arrays are made nor the array copied a row.
+    """
+    at = F.col("_at")
+    places = docs.where(F.size(array) > 0).select(*keep, F.col(array).alias("_w"), F.explode(F.sequence(F.lit(1), F.size(array))).alias("_at"))
+    grams = [F.when(at + p[-1] <= F.size("_w"), F.concat_ws(by, *[F.element_at("_w", at + k) for k in p])) for p in picks]
+    return places.select(*keep, F.posexplode(F.array(*grams)).alias("pick", "gram")).where("gram is not null")
+
+
 def build_vocabulary(feats: DataFrame, minimum: int = 0) -> DataFrame:
     """``(dim, feature, n_obs)``: a feature gets the next id at its ``minimum``-th occurrence (0 and 1: the first) by (doc_id, pos).
 

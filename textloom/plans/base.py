@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..scratch import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, over all cores: for what takes long on each text."""
+    return spread(table(spark, sf_dir, name))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their words ``w``."""
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", C.words(F.col("text")).alias("w"))
+    return texts(spark, sf_dir).select("doc_id", "lang", C.words(F.col("text")).alias("w"))
 
 
 W_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"

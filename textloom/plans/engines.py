@@ -12,42 +12,46 @@ from ..operators import reduce as R
 from ..scratch import materialize, new_path
 from ..sources import io, store
 from ..streaming import score
-from .base import SCORES, line_spans, scores, table
+from .base import SCORES, line_spans, scores, table, texts
 from .features import ORACLES as FEATURE_ORACLES
 from .graph import TransformGraph
 from .reductions import _SCORE_RULES, MATCHES, RULES, _gang
 
 
+def _by_tag(df, key: str):
+    """Tokens and characters by tag of an array of marks."""
+    rows = df.select(key, F.explode("t").alias("t")).groupBy(key, F.col("t.kind").alias("kind")).agg(F.count("*").alias("n"), F.sum("t.length").alias("chars"))
+    return rows.select(key, F.array(*[F.lit(t) for t in T.TAGS])[F.col("kind")].alias("tag"), "n", "chars")
+
+
 def tokenize(spark, d):
-    t = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text"), F.lit("PlainText")).alias("t"))
-    return t.select("doc_id", F.explode("t").alias("t")).groupBy("doc_id", F.col("t.tag").alias("tag")).agg(F.count("*").alias("n"), F.sum("t.length").alias("chars"))
+    return _by_tag(texts(spark, d, "documents").select("doc_id", T.marks(F.col("text"), F.lit("PlainText")).alias("t")), "doc_id")
 
 
 def html_tokenize(spark, d):
-    t = table(spark, d, "pages").select("page_id", T.tokens(F.col("html"), F.lit("HTML")).alias("t"))
-    return t.select("page_id", F.explode("t").alias("t")).groupBy("page_id", F.col("t.tag").alias("tag")).agg(F.count("*").alias("n"), F.sum("t.length").alias("chars"))
+    return _by_tag(texts(spark, d, "pages").select("page_id", T.marks(F.col("html"), F.lit("HTML")).alias("t")), "page_id")
 
 
 def tokenize_chain(spark, d):
-    t = table(spark, d, "conversations").select("conv_id", "turn", C.filter_tags(T.tokens(F.col("text"), F.lit("PlainText")), ["Word", "Punctuation", "URI"]).alias("t"))
+    t = texts(spark, d, "conversations").select("conv_id", "turn", C.filter_tags(T.tokens(F.col("text"), F.lit("PlainText")), ["Word", "Punctuation", "URI"]).alias("t"))
     return t.select("conv_id", "turn", F.size("t").alias("n"))
 
 
 def content_type_deep(spark, d):
-    both = table(spark, d, "pages").select(F.col("html").alias("content")).unionByName(table(spark, d, "documents").select(F.col("text").alias("content")))
+    both = texts(spark, d, "pages").select(F.col("html").alias("content")).unionByName(texts(spark, d, "documents").select(F.col("text").alias("content")))
     plain = C.content_type(F.col("content"))
     return both.select(F.when(plain != "PlainText", plain).otherwise(T.sniff_column(F.col("content"))).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
 
 
 def language_detect(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     profiles = L.train_profiles(docs)
     found = docs.select("doc_id", "lang", L.detect(docs, F.col("text"), F.lit(False), profiles).alias("found"))
     return found.select("doc_id", "lang", L.language(F.lit(None).cast("string"), F.col("found")).alias("language"))
 
 
 def lang_top3(spark, d):
-    docs, pages = table(spark, d, "documents"), table(spark, d, "pages")
+    docs, pages = texts(spark, d), texts(spark, d, "pages")
     found = pages.select("page_id", L.html_hint(F.col("html")).alias("hint"), L.detect(pages, F.col("html"), F.lit(True), L.train_profiles(docs)).alias("found"))
     return found.select("page_id", "hint", F.posexplode("found").alias("place", "f")).select("page_id", "hint", "place", "f.language", F.round("f.score", 6).alias("score"))
 
@@ -56,7 +60,7 @@ SPAN_RULES = [("number", "/(?<number>[0-9]+)/", 0.8), ("word", "/th[a-z]+/", 0.4
 
 
 def span_rule_matches(spark, d):
-    return rules.span_rule_matches(table(spark, d, "documents"), SPAN_RULES)
+    return rules.span_rule_matches(texts(spark, d, "documents"), SPAN_RULES)
 
 
 def span_rules(spark, d):
@@ -95,7 +99,7 @@ def _numeric(spark, d):
     t = F.col("text")
     n = F.greatest(F.length(t), F.lit(1))
     x = F.array(F.log(n), F.regexp_count(t, F.lit(r"[%$&#*]")) / n, F.regexp_count(t, F.lit(r"[A-Z]")) / n, F.regexp_count(t, F.lit(r"\|")) / n)
-    docs = table(spark, d, "documents").select("doc_id", x.alias("x"))
+    docs = texts(spark, d).select("doc_id", x.alias("x"))
     labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("y"))
     return models.dense_vectors(docs.join(labels, "doc_id").select("doc_id", "x", "y"), "x", "doc_id").join(labels, "doc_id")
 
@@ -124,7 +128,7 @@ def lr_multiclass(spark, d):
 
 
 def _text(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return texts(spark, d).select("doc_id", "text")
 
 
 def train_kbinary(spark, d):
@@ -280,7 +284,7 @@ def graph_vectors(spark, d):
 def language_auto(spark, d):
     """Languages of documents that declare none, by the package's own profiles, in a feature graph."""
     config = {"version": "0.0.1", "transforms": [t for t in GRAPH["transforms"] if t["name"] in ("type", "lang")], "pipeline": [*[p for p in GRAPH["pipeline"] if p["name"] in ("type", "lang")], {"name": "$output", "inputs": ["lang"]}]}
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.create_map(F.lit("iso_639_1"), F.lit(None).cast("string")).alias("metadata"))
+    docs = texts(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.create_map(F.lit("iso_639_1"), F.lit(None).cast("string")).alias("metadata"))
     return TransformGraph(config).apply(docs).select("doc_id", "lang")
 
 
@@ -329,7 +333,7 @@ def sink_points(spark, d):
 
 def stream_rule_score(spark, d):
     """Documents as a stream of files, scored by rules and landed: the rows of the batch."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = texts(spark, d, "documents").select("doc_id", "text")
     source = new_path(spark, "stream-in")
     docs.repartition(4).write.parquet(source)
     out = new_path(spark, "stream-out")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import indexing as I
 from ..operators import metrics
-from .base import TOKS, documents, table
+from .base import TOKS, W_SQL, documents, table, texts
 
 STOPS = {
     "en": "the and of to in is it that for on with as was by are be this an a or from at",
@@ -18,9 +19,8 @@ STOP_SQL = "stops(lang, word) AS (VALUES " + ", ".join(f"('{k}', '{w}')" for k,
 
 
 def insights_ngram_counts(spark, d):
-    # explode_outer: explode would have the optimizer infer a filter on the array's size and compute the array once more for it
-    docs = documents(spark, d).select(C.ngrams(F.col("w"), 1, 3).alias("grams"))
-    rows = docs.select(F.explode_outer("grams").alias("g")).where("g is not null").groupBy(F.size("g").alias("n"), F.array_join("g", " ").alias("ngram")).agg(F.count("*").alias("cnt"))
+    grams = I.gram_rows(documents(spark, d), "w", [[0], [0, 1], [0, 1, 2]])
+    rows = grams.groupBy((F.col("pick") + 1).alias("n"), F.col("gram").alias("ngram")).agg(F.count("*").alias("cnt"))
     return rows.where("cnt >= 4").orderBy(F.desc("n"), F.desc("cnt"), "ngram")
 
 
@@ -29,7 +29,7 @@ def bag_of_words(spark, d):
 
 
 def chain_bag_of_words(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce(F.regexp_extract_all("text", F.lit(C.WORDS), F.lit(0)), F.array().cast("array<string>")).alias("w"))
+    docs = texts(spark, d, "documents").select("doc_id", F.coalesce(F.regexp_extract_all("text", F.lit(C.WORDS), F.lit(0)), F.array().cast("array<string>")).alias("w"))
     chain = docs.select("doc_id", F.posexplode_outer(F.transform("w", lambda x: C.change_case(x, "ToLower"))).alias("pos", "word")).where("word is not null")
     return chain.groupBy("pos", "word").agg(F.count("*").alias("n"))
 
@@ -50,7 +50,7 @@ def union_doc_chunks(spark, d):
 
 
 def content_type(spark, d):
-    both = table(spark, d, "pages").select(F.col("html").alias("content")).unionByName(table(spark, d, "documents").select(F.col("text").alias("content")))
+    both = texts(spark, d, "pages").select(F.col("html").alias("content")).unionByName(texts(spark, d, "documents").select(F.col("text").alias("content")))
     return both.groupBy(C.content_type(F.col("content")).alias("type")).agg(F.count("*").alias("n"))
 
 
@@ -64,23 +64,31 @@ def json_props_extract(spark, d):
 
 
 def ngrams(spark, d):
-    grams = documents(spark, d).select("lang", F.explode_outer(C.ngrams(F.col("w"), 2, 3)).alias("g")).where("g is not null")
-    return grams.groupBy("lang", F.size("g").alias("n")).agg(F.count("*").alias("total"), F.countDistinct(C.key(F.col("g"))).alias("kinds"))
+    grams = I.gram_rows(documents(spark, d), "w", [[0, 1], [0, 1, 2]], ("lang",), "\u0001")
+    counts = grams.groupBy("lang", (F.col("pick") + 2).alias("n"), "gram").agg(F.count("*").alias("c"))
+    return counts.groupBy("lang", "n").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+
+
+def ngrams_arrays(spark, d):
+    """The same grams as arrays, a document at a time: how many, and how many items."""
+    docs = documents(spark, d).select("doc_id", C.ngrams(F.col("w"), 2, 3).alias("g"), C.skipgrams(F.col("w"), 1, 2).alias("s"))
+    return docs.select("doc_id", F.size("g").alias("grams"), F.aggregate("g", F.lit(0), lambda a, x: a + F.size(x)).alias("items"), F.size("s").alias("skipgrams"))
 
 
 def ngrams_window(spark, d):
     # a document's words are in one row already: pairs come from the array, not from a sorted window
-    grams = documents(spark, d).select(F.explode_outer(C.ngrams(F.col("w"), 2, 2)).alias("g")).where("g is not null")
-    return grams.groupBy(F.col("g")[0].alias("word"), F.col("g")[1].alias("next")).agg(F.count("*").alias("n")).where("n >= 4")
+    grams = I.gram_rows(documents(spark, d), "w", [[0, 1]]).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 4")
+    pair = F.split("gram", " ")
+    return grams.select(pair[0].alias("word"), pair[1].alias("next"), "n")
 
 
 def skipgrams(spark, d):
-    grams = documents(spark, d).select(F.explode_outer(C.skipgrams(F.col("w"), 2, 2)).alias("g")).where("g is not null")
-    return grams.groupBy(F.array_join("g", " ").alias("gram")).agg(F.count("*").alias("n")).where("n >= 4")
+    grams = I.gram_rows(documents(spark, d), "w", [[0, 1], [0, 2], [0, 3]])
+    return grams.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 4")
 
 
 def word_shapes(spark, d):
-    words = table(spark, d, "documents").select(F.explode_outer(F.regexp_extract_all("text", F.lit(C.SHAPE_TOKENS), F.lit(0))).alias("word")).where("word is not null")
+    words = texts(spark, d, "documents").select(F.explode_outer(F.regexp_extract_all("text", F.lit(C.SHAPE_TOKENS), F.lit(0))).alias("word")).where("word is not null")
     # equal words have equal shapes: the cascade runs on distinct words
     return words.groupBy("word").agg(F.count("*").alias("n")).groupBy(C.word_shape(F.col("word")).alias("shape")).agg(F.sum("n").alias("n"))
 
@@ -119,7 +127,7 @@ def stopword_filter(spark, d):
 
 def filter_token_tags(spark, d):
     tokens = F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+|\s+"), F.lit(0)), lambda t: F.struct(t.alias("content"), F.when(t.rlike(r"^\s"), "Whitespace").when(t.rlike(r"^[\p{L}\p{N}]"), "Word").otherwise("Punctuation").alias("tag")))
-    docs = table(spark, d, "documents").select("doc_id", tokens.alias("tokens"))
+    docs = texts(spark, d, "documents").select("doc_id", tokens.alias("tokens"))
     return docs.select("doc_id", *[F.size(C.filter_tags(F.col("tokens"), a)).alias(n) for n, a in (("words", ["Word"]), ("marks", ["Punctuation"]), ("visible", ["Word", "Punctuation"]))])
 
 
@@ -156,7 +164,7 @@ def flag_mask(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    insights_ngram_counts, bag_of_words, chain_bag_of_words, scan_parquet_documents, content_extract, union_doc_chunks, content_type, language_normalize, json_props_extract, ngrams, ngrams_window,
+    insights_ngram_counts, bag_of_words, chain_bag_of_words, scan_parquet_documents, content_extract, union_doc_chunks, content_type, language_normalize, json_props_extract, ngrams, ngrams_arrays, ngrams_window,
     skipgrams, word_shapes, lift, chain_lift, chain_neighborhood, stopword_anti_join, stopword_filter, filter_token_tags, filter_label, drop_empty_vectors, distinct_docs, sha1_name, label_translate, flag_mask,
 )}
 
@@ -184,6 +192,7 @@ ORACLES = {
     "language_normalize": "SELECT CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' END AS language, count(*) AS n FROM documents GROUP BY ALL",
     "json_props_extract": "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS BIGINT) AS total, count(json_extract_string(props, '$.k')) AS n FROM events GROUP BY ALL",
     "ngrams": f"WITH {TOKS}, g AS (SELECT lang, word, lead(word) OVER o AS w1, lead(word, 2) OVER o AS w2 FROM toks WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) SELECT lang, 2 AS n, count(*) AS total, count(DISTINCT word || chr(1) || w1) AS kinds FROM g WHERE w1 IS NOT NULL GROUP BY ALL UNION ALL SELECT lang, 3, count(*), count(DISTINCT word || chr(1) || w1 || chr(1) || w2) FROM g WHERE w2 IS NOT NULL GROUP BY ALL",
+    "ngrams_arrays": f"SELECT doc_id, CAST(greatest(n - 1, 0) + greatest(n - 2, 0) AS INTEGER) AS grams, CAST(2 * greatest(n - 1, 0) + 3 * greatest(n - 2, 0) AS INTEGER) AS items, CAST(greatest(n - 1, 0) + greatest(n - 2, 0) AS INTEGER) AS skipgrams FROM (SELECT doc_id, coalesce(len({W_SQL}), 0) AS n FROM documents)",
     "ngrams_window": f"WITH {TOKS} SELECT word, next, count(*) AS n FROM (SELECT word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM toks) WHERE next IS NOT NULL GROUP BY ALL HAVING count(*) >= 4",
     "skipgrams": f"WITH {TOKS}, g AS (SELECT word, lead(word) OVER o AS w1, lead(word, 2) OVER o AS w2, lead(word, 3) OVER o AS w3 FROM toks WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) SELECT gram, count(*) AS n FROM (SELECT word || ' ' || unnest([w1, w2, w3]) AS gram FROM g) WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) >= 4",
     "word_shapes": rf"SELECT {_SHAPE} AS shape, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}\p{{P}}]+')) AS word FROM documents) GROUP BY ALL",

@@ -11,7 +11,7 @@ from ..operators import reduce as R
 from ..operators import rules as RU
 from ..operators import spans as S
 from ..operators import train as TR
-from .base import SCORES, SPANS, TOKS, documents, line_spans, scores, table
+from .base import SCORES, SPANS, TOKS, documents, line_spans, scores, table, texts
 
 RULES = [("alpha", "the", 0.7), ("alpha", "license", 1.0), ("beta", "/[0-9]+/", 0.4), ("beta", "idiot", 0.0), ("gamma", "/th[a-z]+/", 0.6), ("gamma", "%%%", 0.0), ("bad", "weight", 1.5), ("bad", "/(unclosed/", 0.5)]
 _PATTERNS = [("alpha", "the", 0.7, "(?i)the"), ("alpha", "license", 1.0, "(?i)license"), ("beta", "/[0-9]+/", 0.4, "[0-9]+"), ("beta", "idiot", 0.0, "(?i)idiot"), ("gamma", "/th[a-z]+/", 0.6, "th[a-z]+"), ("gamma", "%%%", 0.0, "%%%")]
@@ -21,7 +21,7 @@ _TH = "th(label, threshold) AS (VALUES ('alpha', 0.6::DOUBLE), ('beta', 0.3::DOU
 
 
 def _matches(spark, d):
-    return RU.document_rule_matches(table(spark, d, "documents"), RULES)
+    return RU.document_rule_matches(texts(spark, d), RULES)
 
 
 def doc_rule_matches(spark, d):

@@ -85,3 +85,20 @@ def clean(spark: SparkSession) -> None:
     """Remove all tables that this driver has written to the shared folder; results that read them can't be read after."""
     for path in list(_WRITTEN):
         _remove(spark, path)
+
+
+#: A table of fewer bytes that lies in fewer files than there are cores is dealt out to all of them before costly work.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where a small table's few files would leave most of them idle: what a file of one row group holds is one task's.
+
+    Larger tables, and those of many files, stay as they are: nothing is shuffled for it.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < SPREAD_BYTES else df
