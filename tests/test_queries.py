@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from textloom.plans import catalogue, engines
+from textloom.sources import io
 
 SQL = catalogue.oracle_sql()
 SLOW = {"train_k_pipelines", "model_roundtrip", "training_stats", "train_multiclass", "lr_xval", "lr_holdout"}
@@ -39,3 +40,19 @@ def test_oracle(spark, sf, con, name):
 @pytest.mark.parametrize("name", sorted(set(engines.QUERIES) - SLOW - set(SQL)))
 def test_rows(spark, sf, name):
     assert catalogue.queries()[name](spark, sf).count() > 0
+
+
+def test_sink_spans_odd_texts(spark, tmp_path):
+    """Line ends, quotes and zeros in a span stay in its row; no document is taken for another one."""
+    texts = ["a plain text", "eit.\nUndso", "one\r\ntwo\rx", 'say "\x00" so', '\\"\n,"\x00,\n', "ab  trail  ", "\n\n\n\n\n\n\n\n\n", "too few", None]
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn integer, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?)", [(1, 1000 * (i == 1) + i, t) for i, t in enumerate(texts)] + [(2, 1, "other conversation")])
+    con.execute(f"copy conversations to '{tmp_path}/conversations.parquet' (format parquet)")
+    want = con.execute(SQL["sink_spans"])
+    names = [c[0] for c in want.description]
+    got = catalogue.queries()["sink_spans"](spark, str(tmp_path)).select(*[f"`{n}`" for n in names]).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+    odd = [(i, t[2:9]) for i, t in enumerate(texts) if t and len(t) >= 9]
+    io.write_csv(spark.createDataFrame(odd, "i int, t string"), str(tmp_path / "csv"))
+    assert sorted(map(tuple, io.read_csv(spark, str(tmp_path / "csv"), "i int, t string").collect())) == odd

@@ -184,6 +184,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_csv`` has written, with line ends, quotes and zeros inside of texts: a task a file. An empty text is null."""
+    kept = {"header": True, "escape": '"', "charToEscapeQuoteEscaping": '"', "multiLine": True, "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    return spark.read.options(**kept).schema(schema).csv(path)
+
+
 def land_points(points: DataFrame, path: str, model: Column | None = None) -> None:
     """Append points as Parquet, a folder each model, named by the model id's hash."""
     named = points.withColumn("model_key", sha1_name(F.col("model_id") if model is None else model))
