@@ -56,3 +56,11 @@ def test_sink_spans_odd_texts(spark, tmp_path):
     odd = [(i, t[2:9]) for i, t in enumerate(texts) if t and len(t) >= 9]
     io.write_csv(spark.createDataFrame(odd, "i int, t string"), str(tmp_path / "csv"))
     assert sorted(map(tuple, io.read_csv(spark, str(tmp_path / "csv"), "i int, t string").collect())) == odd
+
+
+def test_offset_convert_short_texts(spark, tmp_path):
+    """Spans are clipped to the text, and one that begins where the text ends has its offset and no length."""
+    texts = {1: "", 2: "A.", 3: "Von.", 4: "Éaux.", 5: "a\U0001f600", 6: "\U0001f600" * 9, 7: "longer text"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.o, r.n, r.offset, r.length) for r in catalogue.queries()["offset_convert"](spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 0, 0, 0), 2: (2, 2, 1, 2), 3: (2, 4, 1, 4), 4: (2, 5, 1, 5), 5: (2, 3, 1, 2), 6: (2, 10, 1, 5), 7: (2, 5, 1, 5)}

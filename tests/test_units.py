@@ -87,6 +87,15 @@ def test_columns(spark):
     assert [(x.o2, x.n2) for x in t.select(o.alias("o2"), n.alias("n2")).collect()] == [(1, 3), (0, 0), (0, 1), (1, 2), (0, 0)]
 
 
+def test_offsets_out_of_bounds(spark):
+    """The reference's cases of spans beyond a text, both ways."""
+    cases = {(19, 1): (19, 0), (1, 19): (1, 18), (-5, 5): (0, 0), (-1, 8): (0, 7), (16, 4): (16, 3), (-10, 100): (0, 19), (0, -1): (0, 0), (20, 1): (0, 0)}
+    df = spark.createDataFrame(list(cases), "o int, n int").withColumn("t", F.lit("This is a document."))
+    for convert in (C.to_utf16, C.from_utf16):
+        o, n = convert(F.col("t"), F.col("o"), F.col("n"))
+        assert {(r.o, r.n): (r.o2, r.n2) for r in df.select("o", "n", o.alias("o2"), n.alias("n2")).collect()} == cases
+
+
 def test_running(spark):
     rows = [(i * i % 37, i) for i in range(200)] + [(None, 500)]
     df = running.row_numbers(spark.createDataFrame(rows, "k long, i long"), "k", ["i"], "row", buckets=7)
