@@ -243,6 +243,43 @@ def test_crf(spark):
     assert [t for t, _ in m.decode(x)] == [m.tags[k] for k in best]
 
 
+def test_crf_learns_from_all(spark):
+    """Every sequence counts, however many there are; of weights so many that gradients are added up by ranges."""
+    n = 26_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.array(F.array(F.col("id").cast("int"))).alias("features"), F.array(F.when(F.col("id") % 3 == 0, "BX").otherwise("O")).alias("tags"))
+    m = crf.train(df, n, ["O", "BX"], 20)
+    wrong = df.select("tags", crf.decode(df, F.col("features"), m).alias("p")).where("p[0].tag <> tags[0]")
+    assert wrong.isEmpty()
+
+
+def test_crf_gradient():
+    """The packed gradient of sequences of several lengths is that of the likelihood by all taggings."""
+    import itertools
+
+    g = np.random.default_rng(1)
+    seqs = [([[0, 2], [], [1]], [0, 1, 1]), ([[3]], [2]), ([[2], [9, 1], [0], [3, 3]], [1, 2, 0, 0])]
+    obs, bias, trans = g.normal(size=(4, 3)), g.normal(size=3), g.normal(size=(3, 3))
+
+    def likelihood(obs, bias, trans):
+        total = 0.0
+        for x, y in seqs:
+            s = [bias + sum((obs[f] for f in fs if f < 4), np.zeros(3)) for fs in x]
+            score = lambda z: sum(s[i][k] for i, k in enumerate(z)) + sum(trans[a, b] for a, b in zip(z, z[1:]))
+            total += score(y) - np.log(sum(np.exp(score(z)) for z in itertools.product(range(3), repeat=len(x))))
+        return total
+
+    flat = [fs for x, _ in seqs for fs in x]
+    p = crf.Pack(np.array([len(y) for _, y in seqs]), np.array([len(fs) for fs in flat]), np.array([f for fs in flat for f in fs]), np.array([k for _, y in seqs for k in y]), 4, 3)
+    value, *grads = p.gradient(obs[p.ids], bias, trans)
+    assert list(p.ids) == [0, 1, 2, 3] and value == pytest.approx(likelihood(obs, bias, trans))
+    for w, grad in zip((obs, bias, trans), grads):
+        for at in np.ndindex(w.shape):
+            moved = [v.copy() for v in (obs, bias, trans)]
+            k = next(i for i, v in enumerate((obs, bias, trans)) if v is w)
+            moved[k][at] += 1e-6
+            assert (likelihood(*moved) - likelihood(obs, bias, trans)) / 1e-6 == pytest.approx(grad[at], abs=1e-4)
+
+
 def test_language(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     train_, test = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
