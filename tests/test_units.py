@@ -3,8 +3,10 @@
 import gzip
 import re
 import struct
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,6 +53,22 @@ def test_tokens():
     assert T.tokenize(None) == [] and T.tokenize("") == []
 
 
+def test_tokens_by_parts(monkeypatch):
+    """Of a batch only some texts' tokens are Python objects at once, and the result is the whole batch's."""
+    texts, held = ["one two", None, "", "<b>x</b> &amp; " * 20, "three", "4 five"] * 3, []
+    monkeypatch.setattr(T.F, "arrow_udf", lambda kind: lambda f: SimpleNamespace(asNondeterministic=lambda: lambda *columns: f))
+    columns = T._columns
+    monkeypatch.setattr(T, "_columns", lambda rows: held.append(sum(len(c) for r in rows for c, _, _ in r)) or columns(rows))
+    monkeypatch.setattr(T, "CHUNK_CHARS", 20)
+    modes = pa.array(["HTML"] * len(texts))
+    for make in (T.tokens, T.marks):
+        found = make(None, None)(pa.array(texts), modes).to_pylist()
+        want = [T.tokenize(t, "HTML") for t in texts]
+        assert [[(m["offset"], m["length"]) for m in row] for row in found] == [[(o, len(c)) for c, _, o in row] for row in want]
+    assert len(held) > 10 and all(n <= 20 or n == len(texts[3]) for n in held)
+    assert make(None, None)(pa.array([], pa.string()), pa.array([], pa.string())).to_pylist() == []
+
+
 def test_nested_sections():
     """Conditional sections and internal subsets are one token each, whatever is nested in them; unclosed ones are text."""
     marks = lambda t: [c for c, k, _ in T.tokenize(t, "XML") if k == "Markup"]
@@ -200,6 +218,18 @@ def test_span_folds(spark):
     assert {(r.doc_id, r.label) for r in spans.reduce_spans(df, "greedy").collect()} == {(1, "a"), (2, "c")}
 
 
+def test_folds_by_parts(spark, monkeypatch):
+    """Of a batch of documents' spans some are Python objects at once; lists stay whole, also empty batches work."""
+    v = pa.array([[1] * n for n in (5, 0, 30, 1, 1, 9, 9, 2)])
+    monkeypatch.setattr(spans, "FOLD_SPANS", 10)
+    parts = [p.to_pylist() for p in spans._parts(v)]
+    assert [x for p in parts for x in p] == v.to_pylist() and all(len(p) == 1 or sum(map(len, p)) <= 10 for p in parts)
+    assert [p.to_pylist() for p in spans._parts(v.slice(0, 0))] == [[]]
+    docs = spark.createDataFrame([(1, "the 12 then"), (2, None), (3, "")], "doc_id long, text string")
+    found = rules.span_rule_matches(docs, [("number", "/(?<number>[0-9]+)/", 0.8), ("t", "/th[a-z]+/", 1.0)]).collect()
+    assert sorted((r.doc_id, r.label, r.probability, r.flags, r.offset, r.length) for r in found) == [(1, "number", 0.8, 2, 4, 2), (1, "t", 1.0, 3, 0, 3), (1, "t", 1.0, 3, 7, 4)]
+
+
 def test_gang(spark):
     rows = [(1, "x", 0.8, 1, 0), (1, "x", 0.6, 1, 2), (2, "x", 0.9, 1, 0), (2, "x", 0.0, 2, 3), (3, "x", 0.5, 0, 0)]
     df = spark.createDataFrame(rows, "doc_id long, label string, probability double, match_count long, flags int")
