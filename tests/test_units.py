@@ -121,6 +121,23 @@ def test_running(spark):
     assert got == sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1])) and [r.row for r in df.orderBy("row").collect()] == list(range(1, 202))
 
 
+def test_running_tfidf_in_few_ranges(spark, monkeypatch):
+    """Ranges follow the documents a word can be in, not all words' rows: one range writes nothing; wide rows have more ranges."""
+    counts = spark.range(40).select(F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("dim"), F.lit(2).alias("tf"))
+    docs, asked = spark.range(40).select(F.col("id").alias("doc_id")), []
+    plain = running._bucketed
+    monkeypatch.setattr(running, "_bucketed", lambda df, order, n: asked.append(n) or plain(df, order, n))
+    monkeypatch.setattr(running, "RANGE_ROWS", 10)
+    for rows, ranges in ((50, []), (10, [4])):
+        monkeypatch.setattr(indexing, "RANGE_ROWS", rows)
+        asked.clear()
+        got = indexing.tfidf_running(counts, docs).collect()
+        assert [n for n in asked if n is not None] == ranges and len(got) == 400 and all(abs(r.value) < 1e-12 for r in got)
+    monkeypatch.setattr(running, "RANGE_BYTES", 1000)
+    wide = running.materialize(spark.range(5).select("id", F.expr("repeat(uuid(), 100)").alias("text")), "wide")
+    assert running._ranges(wide) > 3
+
+
 def test_vocabulary(spark):
     feats = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "a"), (2, 0, "c"), (2, 1, "b"), (3, 0, "c"), (3, 1, "d")], "doc_id long, pos int, feature string")
     assert [(r.dim, r.feature, r.n_obs) for r in indexing.build_vocabulary(feats, 2).orderBy("dim").collect()] == [(0, "a", 2), (1, "b", 2), (2, "c", 2)]
