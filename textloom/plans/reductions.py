@@ -274,7 +274,8 @@ def _key(n):
 
 def _labelled(spark, d):
     """The labelled documents and their points; positions in the order of ids, modulo the number of folds, are the folds."""
-    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    # folds are written and numbered: without the texts, which no model here reads
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
     return docs, _points(spark, d)
 
 
