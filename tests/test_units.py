@@ -144,6 +144,22 @@ def test_vocabulary(spark):
     assert [r.feature for r in indexing.build_vocabulary(feats, 0).orderBy("dim").collect()] == ["a", "b", "c", "d"]
 
 
+def test_counts_in_rows(spark, monkeypatch):
+    """Counted in rows and by parts of a batch, words are those that grouping finds, also where ids repeat; they are shuffled once, by word."""
+    rows = [(1, ["b", "a", "b", None, ""]), (2, []), (3, None), (1, ["b", "c"]), (4, ["a"] * 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, w array<string>")
+    monkeypatch.setattr(indexing, "COUNT_TOKENS", 4)
+    got = indexing.array_counts(docs, "w")
+    want = indexing.features(docs, "w").groupBy("doc_id", "feature").agg(F.count("*").alias("tf"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    vocabulary = spark.createDataFrame([(0, "a"), (1, "b")], "dim int, feature string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    joined = got.join(vocabulary.hint("merge"), "feature")
+    assert plan(joined).count("Exchange hashpartitioning(feature") + plan(joined).count("Exchange hashpartitioning(doc_id") <= 2
+    chain = indexing.chain_term_counts(indexing.features(docs, "w"), vocabulary.hint("merge"))
+    assert "hashpartitioning(doc_id" not in plan(chain)
+
+
 def test_rules(spark):
     docs = spark.createDataFrame([(1, "Good good bad"), (2, "ugly"), (3, None)], "doc_id long, text string")
     m = rules.document_rule_matches(docs, [("x", "good", 0.8), ("x", "/b.d/", 0.0), ("x", "/(/", 0.5), ("x", "u", 2.0)])
